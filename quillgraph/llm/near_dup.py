@@ -4,8 +4,8 @@ Signatures come from one-permutation hashing: the 64-bit hash range is cut into
 bin keeps its least hash; an empty bin copies the bin that a fixed probe sequence reaches first (optimal
 densification). Bands of ROWS bins make buckets. In a bucket every member is paired with the smallest id
 only (a star), so a bucket of m documents costs m - 1 pairs. Each pair is confirmed on the full shingle
-sets. Where a star leaves a bucket's members in several components, the pairs across those components
-are tried as well, after the large ones among such buckets are split by further bands.
+sets. Where a star leaves a bucket's members in several components, a second star and then the pairs across
+those components that an exact bound allows are tried as well, so that no link inside a bucket is lost.
 
 Documents with equal sets are one class from the start (grouped by a 128-bit digest of the set), so copies
 never meet in a bucket, whatever their number.
@@ -21,18 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import shared
-from quillgraph.llm.shared import Scratch, as_long, scramble
+from quillgraph.llm.shared import Scratch, as_long, components, scramble
 
 WORDS = 5
 PERCENT = 75
 #: 32 bands of 4 bins: a pair at similarity 0.75 is missed with probability (1 - 0.75**4)**32 = 5e-6.
 BANDS, ROWS = 32, 4
-#: Members of an unsettled bucket that are compared with each other; larger buckets are split by more bands first.
-SMALL_BUCKET = 48
 
 _MIX = np.random.default_rng(71).integers(1, 2**63, WORDS + ROWS + BANDS + 8, dtype=np.uint64) | np.uint64(1)
 _SHORT_SALT = np.arange(WORDS, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -140,26 +138,61 @@ def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return picked.mapInArrow(_sets, "node long, shingles array<long>")
 
 
-def _unsettled(members: DataFrame, roots: DataFrame, bands: DataFrame, scratch: Scratch) -> DataFrame | None:
-    """Pairs across components inside buckets that their stars have left in several components."""
-    joined = members.join(roots, members["b"] == roots["node"], "left").select("key", F.col("b").alias("node"), F.coalesce("root", "b").alias("part"))
-    open_buckets = joined.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("m")).where("p < q").select("key", "m")
-    rest = scratch.keep(joined.join(open_buckets, "key"))
-    found = None
-    for level in range(4):
-        if rest.isEmpty():
-            break
-        small = rest if level == 3 else rest.where(F.col("m") <= SMALL_BUCKET)
-        left, right = small.select("key", F.col("node").alias("a"), F.col("part").alias("pa")), small.select("key", F.col("node").alias("b"), F.col("part").alias("pb"))
-        pairs = left.join(right, "key").where("pa < pb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = pairs if found is None else found.union(pairs)
-        if level == 3:
-            break
-        large = rest.where(F.col("m") > SMALL_BUCKET).join(bands.select("node", "bands"), "node").select("key", "node", "part", F.explode("bands").alias("band"))
-        large = large.select(F.xxhash64("key", "band").alias("sub"), F.col("key").alias("from"), "band", "node", "part").where("band <> from")
-        kept = large.groupBy("sub").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("m")).where("p < q").select("sub", "m")
-        rest = scratch.keep(large.join(kept, "sub").select(F.col("sub").alias("key"), "node", "part", "m"))
-    return None if found is None else found.distinct()
+def _open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, node, part of the buckets whose members are in several components."""
+    joined = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("part"))
+    split = joined.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
+    return joined.join(split, "key", "left_semi")
+
+
+def _private(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, n, u: the size of its set and how many of its shingles no other of these nodes has."""
+    own = sets.join(nodes, "node", "left_semi")
+    alone = own.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+    counts = alone.groupBy("node").agg(F.count("*").alias("u"))
+    return own.select("node", F.size("shingles").alias("n")).join(counts, "node", "left").select("node", "n", F.coalesce("u", F.lit(0)).alias("u"))
+
+
+def _possible(n1: str, u1: str, n2: str, u2: str) -> Column:
+    """Whether two sets can reach PERCENT: at most n - u shingles are common and u1 + u2 are in the union besides."""
+    most = F.least(F.col(n1) - F.col(u1), F.col(n2) - F.col(u2))
+    return (most * 100 >= (most + F.col(u1) + F.col(u2)) * PERCENT) & (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * PERCENT)
+
+
+def _settle(stars: DataFrame, links: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Roots after the buckets that stars leave in several components are settled.
+
+    Shingles that one member alone has bound what it can share, which rules most pairs out exactly. A second
+    star, around the member with the fewest of them (the least edited), joins most of what is left; the
+    remaining pairs across components that the bound allows are then tried one by one.
+    """
+    roots = components(links, scratch)
+    many = stars.where("m > 2")
+    members = many.select("key", F.col("b").alias("node")).union(many.select("key", F.col("a").alias("node")).distinct())
+    left = scratch.keep(_open_members(members, roots))
+    if left.isEmpty():
+        return roots
+    facts = scratch.keep(_private(left.select("node").distinct(), sets))
+    known = scratch.keep(left.join(facts, "node"))
+    centre = known.groupBy("key").agg(F.min(F.struct("u", "node", "n", "part")).alias("c")).select("key", F.col("c.u").alias("cu"), F.col("c.node").alias("a"), F.col("c.n").alias("cn"), F.col("c.part").alias("cpart"))
+    again = known.join(centre, "key").where((F.col("part") != F.col("cpart")) & _possible("n", "u", "cn", "cu"))
+    links = scratch.keep(links.union(_confirm(_ordered(again.select("a", F.col("node").alias("b"))), sets)))
+    roots = components(links, scratch)
+    left = _open_members(known.select("key", "node"), roots).join(facts, "node")
+    least = left.groupBy("key").agg(F.min("u").alias("least"))
+    # a member that could not be near even the least edited one has no partner here
+    able = scratch.keep(left.join(least, "key").where(((F.col("n") - F.col("u")) * 100 >= (F.col("n") + F.col("least")) * PERCENT)).drop("least"))
+    one = able.select("key", *[F.col(c).alias(f"{c}1") for c in ("node", "part", "n", "u")])
+    two = able.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "part", "n", "u")])
+    pairs = one.join(two, (one["key"] == two["key"]) & (F.col("part1") < F.col("part2")) & _possible("n1", "u1", "n2", "u2"))
+    pairs = scratch.keep(_ordered(pairs.select(F.col("node1").alias("a"), F.col("node2").alias("b"))))
+    if pairs.isEmpty():
+        return roots
+    return components(links.union(_confirm(pairs, sets)), scratch)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -177,24 +210,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = scratch.keep(_sets_of(docs, nodes))
     links = scratch.keep(_confirm(pairs, sets))
-    # ids that stand for several classes (repeated ids with other texts) join these classes
-    roots = components(links, scratch)
-    members = stars.where("m > 2")
-    members = members.select("key", "b").union(members.select("key", F.col("a").alias("b")).distinct())
-    more = _unsettled(members, roots, classes, scratch)
-    if more is not None:
-        added = scratch.keep(_confirm(more, sets))
-        if not added.isEmpty():
-            roots = components(links.union(added), scratch)
+    roots = _settle(stars, links, sets, scratch)
     by_class = classes.join(roots, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("component_id"))
     found = signed.select("doc_id", "n_shingles", "d1", "d2").join(by_class, ["d1", "d2"], "left")
     own = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
     return found.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-components = shared.components
-
-
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose document stands for its group."""
     gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()

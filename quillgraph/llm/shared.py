@@ -149,12 +149,13 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, part: np.ndarray = BLANK)
     return np.flatnonzero(begin), np.flatnonzero(stop)
 
 
-def _hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, spans: list[tuple[np.ndarray, np.ndarray]], fold: np.ndarray = LOWER) -> list[np.ndarray]:
+    """Hashes of the folded bytes of several lists of spans (starts, ends) over the same bytes."""
     n = len(data)
     power = _power_table(n)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE_CODE[fold[data]] * power[:n], out=total[1:])
-    return scramble((total[ends] - total[starts]) * power[n - starts] * _inverse(n))
+    return [scramble((total[ends] - total[starts]) * power[n - starts] * _inverse(n)) for starts, ends in spans]
 
 
 _inverses: dict[int, np.uint64] = {}
@@ -182,7 +183,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, part: np.ndarray = BLANK,
         to = int(np.searchsorted(ends, starts[at] + PASS_BYTES, side="right"))
         to = max(to, at + 1)
         low, high = starts[at], ends[to - 1]
-        out[at:to] = _hash_spans(data[low:high], starts[at:to] - low, ends[at:to] - low, fold)
+        out[at:to] = span_hashes(data[low:high], [(starts[at:to] - low, ends[at:to] - low)], fold)[0]
         at = to
     return out, first
 

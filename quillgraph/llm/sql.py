@@ -1,3 +1,58 @@
 """DuckDB SQL for the operators that SQL can express; each reads the whole tables."""
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op7_mix_sources"] = r"""
+WITH sized AS (
+    SELECT doc_id, source, md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place,
+           coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+    FROM documents),
+sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+ranked AS (
+    SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS weight, source_size * 3 AS cap FROM sizes),
+summed AS (
+    SELECT *, (sum(source_size) OVER ())::BIGINT AS total,
+           (sum(cap) OVER (ORDER BY cap::DOUBLE / weight, source COLLATE "C" NULLS LAST ROWS UNBOUNDED PRECEDING))::BIGINT - cap AS prior,
+           (sum(weight) OVER (ORDER BY cap::DOUBLE / weight, source COLLATE "C" NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS remaining
+    FROM ranked),
+clamped AS (SELECT *, cap * remaining <= (total - prior) * weight AS is_full FROM summed),
+leveled AS (
+    SELECT *, (sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER ())::BIGINT AS spent,
+           (sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER ())::BIGINT AS opened FROM clamped),
+targets AS (
+    SELECT source, source_size, CASE WHEN is_full THEN cap::DOUBLE ELSE (total - spent)::DOUBLE * weight / opened END AS target FROM leveled),
+wanted AS (
+    SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size)::BIGINT END AS whole FROM targets),
+run AS (
+    SELECT s.doc_id, s.size, w.source_size, w.target, w.whole, w.target - w.whole * w.source_size AS extra,
+           (sum(s.size) OVER (PARTITION BY s.source ORDER BY s.place, s.doc_id, s.size ROWS UNBOUNDED PRECEDING))::BIGINT AS reached
+    FROM sized s JOIN wanted w ON s.source IS NOT DISTINCT FROM w.source)
+SELECT doc_id, size, source_size, target,
+       (size * (whole + CASE WHEN extra > 0 AND reached - extra <= extra - (reached - size) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM run
+"""
+
+ORACLES["op4_decontaminate"] = r"""
+WITH doc AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+    FROM documents),
+item AS (
+    SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark WHERE text IS NOT NULL),
+win AS (
+    SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS gram
+    FROM (SELECT *, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS i FROM item WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT n FROM win),
+spot AS (
+    SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS gram
+    FROM (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM doc, lens WHERE len(w) >= n)),
+hit AS (SELECT s.r, s.n, s.i, v.item_id FROM spot s JOIN win v ON s.n = v.n AND s.gram = v.gram),
+covered AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + n - 1)) AS p FROM hit) GROUP BY r),
+items AS (
+    SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+    FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hit WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
+"""
