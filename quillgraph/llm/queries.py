@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillgraph.llm import sql
 
@@ -58,6 +59,20 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.llm.pii import pseudonymise
+
+    found = pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), found="found")
+    changed = F.filter("found", lambda x: x["changed"])
+    return found.select("doc_id", "text", F.size(changed).cast("long").alias("n_replaced"), F.array_join(F.array_sort(F.array_distinct(F.transform(changed, lambda x: x["kind"]))), ",").alias("kinds"))
+
+
+def op10_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.llm.embed_dup import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: made for name, made in globals().items() if name.startswith("op") and name[2].isdigit()}
 

@@ -1,7 +1,8 @@
 """Toxicity scores from a convolutional text classifier trained in numpy.
 
-A word's vector is the sum of three hashed embeddings: two independent hashes of the word, so that a chance
-collision carries half a word's weight only, and one of its first five bytes. Filters of one, two and three
+A word's vector is the sum of hashed embeddings: two independent hashes of the word, so that a chance
+collision carries part of a word's weight only, and its beginnings of four to seven bytes, which inflected
+forms share. Filters of one, two and three
 words slide over the text, max pooling keeps each filter's strongest answer, and a logistic layer turns them
 into a logit. Gradients go through the pooled positions only, with Adagrad on all weights.
 
@@ -10,7 +11,8 @@ F1 threshold of each language is found on a fifth of the sample that the network
 shifted so that this threshold becomes DECISION. Languages with fewer than ``LEAST_CASES`` cases of either
 class take the common threshold.
 
-The model is fitted on a bounded sample: up to ``per_class`` rows of each class, picked by a hash of the id
+The model is fitted on a bounded sample: up to ``per_class`` toxic rows and CLEAN_RATIO
+times as many others, picked by a hash of the id
 among labelled rows that may be learnt from, none over ``max_chars``, whole texts. All whole texts are scored.
 
 Defined cases: null, empty and wordless texts get the score of a text without words; ties in labels of one
@@ -31,19 +33,21 @@ from pyspark.sql import functions as F
 from quillgraph.llm import shared
 from quillgraph.llm.language import FOLD
 
-PER_CLASS, MAX_CHARS = 2500, 60_000
+PER_CLASS, CLEAN_RATIO, MAX_CHARS = 2500, 2, 60_000
 DECISION = 0.3
 LEAST_CASES = 15
 BITS, WIDTH, FILTERS, SPANS = 17, 8, 8, (1, 2, 3)
 GUESS_BITS = 14
-STEM = 5
+#: Bytes of the word beginnings that have embeddings besides the word's own two.
+STEMS = (4, 5, 7)
+TABLES = 2 + len(STEMS)
 GROUP_BYTES = 1 << 19
 _PART = FOLD == 0
 
 
 @dataclass
 class Network:
-    embedding: np.ndarray  # three tables: two of words, one of stems
+    embedding: np.ndarray  # tables: two of words, then one for each length of stem
     filters: list[np.ndarray]  # per span: span x WIDTH x FILTERS
     bias: list[np.ndarray]
     output: np.ndarray
@@ -55,12 +59,12 @@ class Network:
 
 
 def read_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(three buckets of each word, first word of each text and the end)."""
+    """(the buckets of each word and its beginnings, first word of each text and the end)."""
     starts, ends = shared.word_spans(data, offsets, _PART)
     first = np.searchsorted(starts, offsets)
-    whole, stem = shared.span_hashes(data, [(starts, ends), (starts, np.minimum(ends, starts + STEM))], FOLD)
+    whole, *stems = shared.span_hashes(data, [(starts, ends), *((starts, np.minimum(ends, starts + k)) for k in STEMS)], FOLD)
     mask, shift = np.uint64((1 << BITS) - 1), np.uint64(32)
-    return np.stack([whole & mask, (whole >> shift) & mask, stem & mask], 1).astype(np.int32), first
+    return np.stack([whole & mask, (whole >> shift) & mask, *(x & mask for x in stems)], 1).astype(np.int32), first
 
 
 def _respond(vectors: np.ndarray, first: np.ndarray, net: Network) -> list[np.ndarray]:
@@ -90,7 +94,10 @@ def _pool(answers: np.ndarray, first: np.ndarray, bias: np.ndarray) -> np.ndarra
 
 
 def vectors_of(ids: np.ndarray, net: Network) -> np.ndarray:
-    return net.embedding[0][ids[:, 0]] + net.embedding[1][ids[:, 1]] + net.embedding[2][ids[:, 2]]
+    out = net.embedding[0][ids[:, 0]]
+    for k in range(1, ids.shape[1]):
+        out += net.embedding[k][ids[:, k]]
+    return out
 
 
 def logits(ids: np.ndarray, first: np.ndarray, net: Network) -> np.ndarray:
@@ -134,11 +141,11 @@ def _pick(ids: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndar
     return ids[at], np.append(begin, size.sum())
 
 
-def fit(texts: list[str], toxic: list[int], langs: list[str | None], seed: int = 3, epochs: int = 8, batch: int = 64) -> Network:
+def fit(texts: list[str], toxic: list[int], langs: list[str | None], seed: int = 3, epochs: int = 6, batch: int = 64) -> Network:
     rng = np.random.default_rng(seed)
     small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
     languages = sorted({x for x in langs if x is not None})
-    net = Network(small(3, 1 << BITS, WIDTH), [small(s, WIDTH, FILTERS) * 3 for s in SPANS], [np.zeros(FILTERS, np.float32) for _ in SPANS], np.abs(small(FILTERS * len(SPANS))), -2.0, np.zeros((1 << GUESS_BITS, len(languages)), np.float32), np.zeros(len(languages) + 1), languages=languages)
+    net = Network(small(TABLES, 1 << BITS, WIDTH), [small(s, WIDTH, FILTERS) * 3 for s in SPANS], [np.zeros(FILTERS, np.float32) for _ in SPANS], np.abs(small(FILTERS * len(SPANS))), -2.0, np.zeros((1 << GUESS_BITS, len(languages)), np.float32), np.zeros(len(languages) + 1), languages=languages)
     truth = np.array(toxic, np.float64)
     if len(texts) < 2 or truth.min() == truth.max():
         net.fitted = False
@@ -157,6 +164,9 @@ def fit(texts: list[str], toxic: list[int], langs: list[str | None], seed: int =
         for k in range(0, len(own), batch):
             rows = own[k : k + batch]
             part, at = _pick(ids, first, rows)
+            # words drop out, so that each telling word is learnt, not the strongest of a text only
+            stays = rng.random(len(part)) < rng.choice((0.35, 0.7, 1.0))
+            part, at = part[stays], np.concatenate(([0], np.cumsum(stays)))[at]
             if not len(part):
                 continue
             vec = vectors_of(part, net)
@@ -199,7 +209,7 @@ def fit(texts: list[str], toxic: list[int], langs: list[str | None], seed: int =
                 net.filters[j] += speed * gw / np.sqrt(sums[0][j])
                 net.bias[j] += speed * gb / np.sqrt(sums[1][j])
             touched = np.flatnonzero(np.any(into != 0, 1))
-            for table in range(3):
+            for table in range(TABLES):
                 which, place = np.unique(part[touched, table], return_inverse=True)
                 g = np.zeros((len(which), WIDTH), np.float32)
                 np.add.at(g, place, into[touched])
@@ -250,11 +260,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_ch
     draw = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("toxicity")), F.lit(1_000_000))
     share = F.lit(0)
     for value, n in counts.items():
-        share = F.when(F.col("toxic") == value, min(1_000_000, int(1_200_000 * per_class / n) + 1)).otherwise(share)
-    picked = marked.where(draw < share).select("id", "toxic").limit(4 * per_class)
+        share = F.when(F.col("toxic") == value, min(1_000_000, int(1_200_000 * per_class * (1 if value else CLEAN_RATIO) / n) + 1)).otherwise(share)
+    picked = marked.where(draw < share).select("id", "toxic").limit(2 * (1 + CLEAN_RATIO) * per_class)
     read = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang")).where(F.length("text") <= max_chars)
-    # a sample of at most 4 * per_class ids
-    rows = read.join(F.broadcast(picked), read["doc_id"] == picked["id"]).select("doc_id", "text", "lang", "toxic").dropDuplicates(["doc_id", "text"]).limit(8 * per_class).collect()
+    # a sample of bounded size
+    rows = read.join(F.broadcast(picked), read["doc_id"] == picked["id"]).select("doc_id", "text", "lang", "toxic").dropDuplicates(["doc_id", "text"]).limit(4 * (1 + CLEAN_RATIO) * per_class).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
     return fit([r.text for r in rows], [r.toxic for r in rows], [r.lang for r in rows])
 
