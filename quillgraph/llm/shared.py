@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that one numpy pass works on; bounds the memory of a Python worker.
 PASS_BYTES = 1 << 20
 
+#: While a table is written: rows and bytes of text that go to a Python worker at once.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
 
 # ---------------------------------------------------------------- intermediate tables
 
@@ -51,7 +54,14 @@ class Scratch:
     def keep(self, frame: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count:03d}"
-        frame.write.parquet(path)
+        before = {key: self.spark.conf.get(key, None) for key in SMALL_BATCHES}
+        try:
+            for key, value in SMALL_BATCHES.items():
+                self.spark.conf.set(key, value)
+            frame.write.parquet(path)
+        finally:
+            for key, value in before.items():
+                self.spark.conf.unset(key) if value is None else self.spark.conf.set(key, value)
         kept = self.spark.read.schema(frame.schema).parquet(path)
         kept._scratch_path = path
         return kept
