@@ -111,11 +111,11 @@ def _dotted(node: ast.AST) -> str | None:
 
 def _series(function, kind: str, *columns: Column) -> Column:
     @F.pandas_udf(kind)
-    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for parts in batches:
-            yield pd.Series([function(*row) for row in zip(*parts, strict=True)], dtype=object)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([function(*row) for row in zip(*(batch[c] for c in batch), strict=True)], dtype=object)
 
-    return run(*columns)
+    return run(F.struct(*[c.alias(f"c{k}") for k, c in enumerate(columns)]))
 
 
 def definition_spans(text: Column, module: Column) -> Column:

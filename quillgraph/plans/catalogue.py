@@ -89,7 +89,7 @@ def safe_ratios(spark, sf):
 
 @query
 def bm25_topk(spark, sf):
-    return _round(fixtures.bm25_results(spark, sf), "score").select("item_id", "doc_id", "rank", "score")
+    return fixtures.bm25_results(spark, sf).select("item_id", "doc_id", "rank", "score")
 
 
 @query
@@ -98,7 +98,7 @@ def bm25_by_lang(spark, sf):
     asked = fixtures.asked_terms(spark, sf).join(F.broadcast(docs.select("lang").distinct()))  # each query in each repository; langs are few
     scored = rank.bm25_scores(asked, "item_id", fixtures.doc_terms(spark, sf, "lang"), "doc_id", repo="lang", units=docs)
     best = rank.top_k(scored.withColumnRenamed("bm25", "score"), ["item_id", "lang"], 3, ["doc_id"])
-    return _round(best, "score").select("item_id", "lang", "doc_id", "rank", "score")
+    return best.select("item_id", "lang", "doc_id", "rank", "score")
 
 
 def _keyword_pairs(spark, sf):
@@ -106,10 +106,10 @@ def _keyword_pairs(spark, sf):
     items = table(spark, sf, "benchmark").select("item_id", F.slice(text.query_terms("text"), 1, 8).alias("terms"))
     if items.limit(4097).count() > 4096:
         raise ValueError("more than 4096 queries: pass them in blocks")
-    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.lower("text").alias("low"))
     own = fixtures.doc_terms(spark, sf).groupBy("doc_id").agg(F.collect_list("term").alias("own"))  # at most 64 a document
     held = docs.join(own, "doc_id", "left").withColumn("own", F.coalesce("own", F.array().cast("array<string>")))
-    return held.crossJoin(F.broadcast(items)).select("item_id", "doc_id", "source", rank.keyword_score(F.col("text"), F.col("terms"), F.col("own")).alias("keyword"))
+    return held.crossJoin(F.broadcast(items)).select("item_id", "doc_id", rank.keyword_score(F.col("text"), F.col("terms"), F.col("own"), low=F.col("low")).alias("keyword"))
 
 
 @query
@@ -123,7 +123,7 @@ def hybrid_topk(spark, sf):
     bm25 = rank.bm25_scores(fixtures.asked_terms(spark, sf), "item_id", fixtures.doc_terms(spark, sf), "doc_id", units=table(spark, sf, "documents"))
     pairs = _keyword_pairs(spark, sf).join(bm25, ["item_id", "doc_id"], "left")
     scored = pairs.withColumn("score", rank.variant_score("keyword_plus_bm25", F.col("bm25"), F.col("keyword")))
-    return _round(rank.top_k(scored, ["item_id"], 10, ["doc_id"]), "score").select("item_id", "doc_id", "rank", "score")
+    return rank.top_k(scored, ["item_id"], 10, ["doc_id"]).select("item_id", "doc_id", "rank", "score")
 
 
 @query
@@ -131,7 +131,7 @@ def dense_topk(spark, sf):
     vectors = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "unit")
     asked = vectors.where("unit % 50 = 0").select(F.col("unit").alias("q_id"), "embedding")
     best = rank.top_k(rank.dense_scores(asked, vectors, "q_id", "unit"), ["q_id"], 5, ["unit"])
-    return _round(best, "score").select("q_id", F.col("unit").alias("vec_id"), "rank", "score")
+    return best.select("q_id", F.col("unit").alias("vec_id"), "rank", "score")
 
 
 @query
@@ -158,7 +158,7 @@ def multiquery_merge(spark, sf):
     scored = rank.bm25_scores(asked.select("qid", "term"), "qid", fixtures.doc_terms(spark, sf), "doc_id", units=table(spark, sf, "documents"))
     best = rank.top_k(scored.withColumnRenamed("bm25", "score"), ["qid"], 50, ["doc_id"]).select("qid.*", "doc_id", "score")
     merged = rank.merge_queries(best, "item_id", "doc_id")
-    return _round(rank.top_k(merged, ["item_id"], 10, ["doc_id"]), "score").select("item_id", "doc_id", "rank", "score", "query_count", "best_query")
+    return rank.top_k(merged, ["item_id"], 10, ["doc_id"]).select("item_id", "doc_id", "rank", "score", "query_count", "best_query")
 
 
 @query
@@ -395,7 +395,7 @@ def agent_call_budget(spark, sf):
 @query
 def tool_list_files(spark, sf):
     files = table(spark, sf, "documents").select(F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit("/"), F.col("doc_id"), F.lit(".txt")).alias("path"))
-    return budget.list_files(files, "src1/*/*5.txt")
+    return budget.list_files(files, "src1*/*/*5.txt")
 
 
 @query
@@ -432,7 +432,7 @@ def finish_hist(spark, sf):
 
 @query
 def timing_summary(spark, sf):
-    rows = table(spark, sf, "events").select("user_id", F.col("ts").cast("string").alias("started_at"), F.col("ts").cast("string").alias("finished_at"), F.when(F.col("user_id") % 2 == 0, F.col("value")).alias("duration_seconds"), (F.col("value") * 2).alias("case_seconds"))
+    rows = table(spark, sf, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("started_at"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("finished_at"), F.when(F.col("user_id") % 2 == 0, F.col("value")).alias("duration_seconds"), (F.col("value") * 2).alias("case_seconds"))
     return runs.timing(rows, ["user_id"]).withColumn("duration_seconds", F.round("duration_seconds", 2))
 
 
