@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm import shared
 from quillgraph.llm.language import FOLD
 
-PER_CLASS, CLEAN_RATIO, MAX_CHARS = 2500, 2, 60_000
+PER_CLASS, CLEAN_RATIO, MAX_CHARS = 1600, 2, 60_000
 DECISION = 0.3
 LEAST_CASES = 15
 BITS, WIDTH, FILTERS, SPANS = 17, 8, 8, (1, 2, 3)
@@ -129,9 +129,15 @@ def scores(ids: np.ndarray, first: np.ndarray, net: Network) -> np.ndarray:
 
 
 def _encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Words of the sample, read in groups of GROUP_BYTES so that the driver holds no array per byte of it."""
     raw = [t.encode() for t in texts]
     offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
-    return read_words(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    ids, ends = [np.zeros((0, TABLES), np.int32)], [np.zeros(1, np.int64)]
+    for a, b in shared.row_groups(offsets, GROUP_BYTES):
+        part, first = read_words(np.frombuffer(b"".join(raw[a:b]), np.uint8), offsets[a : b + 1] - offsets[a])
+        ids.append(part)
+        ends.append(first[1:] + ends[-1][-1])
+    return np.concatenate(ids), np.concatenate(ends)
 
 
 def _pick(ids: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
