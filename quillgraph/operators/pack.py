@@ -168,13 +168,15 @@ def import_lines(lines: DataFrame, keys: list[str], rank: str = "start_line") ->
     """
     once = lines.groupBy(*keys, "line").agg(F.min_by("text", rank).alias("text"))
     per_file = once.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("xs"))  # the head of one file
-    start = F.expr("named_struct('open', false, 'out', CAST(array() AS array<struct<line: int, text: string>>))")
+    start = F.expr("named_struct('open', 0, 'out', CAST(array() AS array<struct<line: int, text: string>>))")
 
     def step(acc: Column, x: Column) -> Column:
         begins = x["text"].rlike(r"^\s*(?:import|from)\s")
-        inside = acc["open"] | begins
+        inside = (acc["open"] > 0) | begins
         depth = F.length(F.regexp_replace(x["text"], r"[^(]", "")) - F.length(F.regexp_replace(x["text"], r"[^)]", ""))
-        still = F.when(begins, (depth > 0) | F.rtrim(x["text"]).endswith("\\")).when(acc["open"], (depth >= 0) & ~F.contains(x["text"], F.lit(")")) | F.rtrim(x["text"]).endswith("\\")).otherwise(False)
+        goes_on = F.rtrim(x["text"]).endswith("\\")
+        # 1: an open parenthesis, 2: a backslash
+        still = F.when(begins & (depth > 0), 1).when((acc["open"] == 1) & ~begins & ~F.contains(x["text"], F.lit(")")), 1).when(goes_on, 2).otherwise(0)
         return F.when(inside, F.struct(still.alias("open"), F.concat(acc["out"], F.array(F.struct(x["line"].cast("int").alias("line"), x["text"].alias("text")))).alias("out"))).otherwise(acc)
 
     return per_file.select(*keys, F.explode(F.aggregate("xs", start, step)["out"]).alias("x")).select(*keys, "x.*")

@@ -68,7 +68,7 @@ def json_lines(spark: SparkSession, paths: str | list[str], schema: str | T.Stru
 
 def numbered_json_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """path, line_no, text, error of each line that is not blank (for files that one task can hold)."""
-    whole = spark.read.option("wholetext", "true").text(paths).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("i", "text"))
+    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("i", "text"))
     object_ = F.get_json_object("text", "$").startswith("{")
     return whole.where(F.trim("text") != "").select("path", (F.col("i") + 1).alias("line_no"), "text", F.when(~F.coalesce(object_, F.lit(False)), "not a JSON object").alias("error"))
 
