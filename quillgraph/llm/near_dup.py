@@ -154,9 +154,9 @@ def _private(nodes: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _possible(n1: str, u1: str, n2: str, u2: str) -> Column:
-    """Whether two sets can reach PERCENT: at most n - u shingles are common and u1 + u2 are in the union besides."""
+    """Whether two sets can reach PERCENT: at most n - u shingles are common, and the rest of n1 + n2 is in the union."""
     most = F.least(F.col(n1) - F.col(u1), F.col(n2) - F.col(u2))
-    return (most * 100 >= (most + F.col(u1) + F.col(u2)) * PERCENT) & (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * PERCENT)
+    return most * (100 + PERCENT) >= (F.col(n1) + F.col(n2)) * PERCENT
 
 
 def _settle(stars: DataFrame, links: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
@@ -179,9 +179,9 @@ def _settle(stars: DataFrame, links: DataFrame, sets: DataFrame, scratch: Scratc
     links = scratch.keep(links.union(_confirm(_ordered(again.select("a", F.col("node").alias("b"))), sets)))
     roots = components(links, scratch)
     left = _open_members(known.select("key", "node"), roots).join(facts, "node")
-    least = left.groupBy("key").agg(F.min("u").alias("least"))
-    # a member that could not be near even the least edited one has no partner here
-    able = scratch.keep(left.join(least, "key").where(((F.col("n") - F.col("u")) * 100 >= (F.col("n") + F.col("least")) * PERCENT)).drop("least"))
+    least = left.groupBy("key").agg(F.min("n").alias("least"))
+    # a member that shares too little even for the smallest set of its bucket has no partner here
+    able = scratch.keep(left.join(least, "key").where((F.col("n") - F.col("u")) * (100 + PERCENT) >= (F.col("n") + F.col("least")) * PERCENT).drop("least"))
     one = able.select("key", *[F.col(c).alias(f"{c}1") for c in ("node", "part", "n", "u")])
     two = able.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "part", "n", "u")])
     pairs = one.join(two, (one["key"] == two["key"]) & (F.col("part1") < F.col("part2")) & _possible("n1", "u1", "n2", "u2"))
