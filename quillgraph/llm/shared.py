@@ -83,7 +83,8 @@ def fresh_name(taken: list[str], wanted: str) -> str:
 
 def training_row(doc_id: Column | str) -> Column:
     """True on rows that models may learn from: crc32 of the id as text is not 2 modulo 4."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string").cast("binary")) % 4 != 2
+    text = (F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")
+    return F.crc32(F.coalesce(text, F.lit("")).cast("binary")) % 4 != 2
 
 
 # ---------------------------------------------------------------- Arrow text as arrays

@@ -42,7 +42,7 @@ def path_of(url: Column) -> Column:
 
 
 def suffix_of(host: Column) -> Column:
-    return F.regexp_extract(F.regexp_replace(host, r":\d*$", ""), r"((?:(?:^|\.)(?:co|com|net|org|gov|edu|ac)\.[a-z]{2}|[^.]*))$", 1)
+    return F.regexp_extract(F.regexp_replace(host, r":\d*$", ""), r"((?<![^.])(?:co|com|net|org|gov|edu|ac)\.[a-z]{2}|[^.]*)$", 1)
 
 
 def domain_of(host: Column) -> Column:

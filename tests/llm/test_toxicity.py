@@ -11,7 +11,7 @@ def test_held_out_on_whole_table(spark):
 
 
 def test_defined_cases(spark):
-    docs = spark.createDataFrame([(k, f"nice word{k} here " + ("awful scum" if k % 3 == 0 else "fine day"), "aa", 1.0) for k in range(120)] + [(500, None, None, 1.0), (501, "", None, 1.0), (502, "?!", None, 1.0), (None, "scum", None, 1.0)], "doc_id long, text string, lang string, score double")
+    docs = spark.createDataFrame([(k, f"nice word{k} here " + ("awful scum" if k % 3 == 0 else "fine day"), "aa", 1.0) for k in range(120)] + [(500, None, None, 1.0), (501, "", None, 1.0), (502, "?!", None, 1.0), (None, "nice word1 here awful scum", None, 1.0)], "doc_id long, text string, lang string, score double")
     labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(120)] + [(500, None), (None, 1), (3, 0)], "doc_id long, toxic int")
     got = {r.doc_id: r for r in tx.toxicity(docs, labels).collect()}
     assert len(got) == 124 and sum(got[k].predicted == (k % 3 == 0) for k in range(120)) >= 118
