@@ -45,6 +45,12 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages, outcomes_of_sources(pages, _table(spark, sf_dir, "labels")))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.llm.licenses import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillgraph.llm.mixing import mix
 

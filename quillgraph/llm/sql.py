@@ -56,3 +56,32 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
 """
+
+
+def _license_sql() -> str:
+    """The rules one after another, each a step on the texts' identifier sequences."""
+    import re
+
+    from quillgraph.llm.licenses import MARKERS, RULES, SENTENCES, rule_pattern
+
+    known = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
+    steps, last = [], "s0"
+    for k, (name, ids) in enumerate(RULES, 1):
+        pattern, keep = rule_pattern(ids)
+        keep = re.sub(r"\$(\d)", r"\\\1", keep)
+        steps.append(f"s{k} AS (SELECT r, doc_id, ids, CASE WHEN regexp_matches(s, '{pattern}') THEN regexp_replace(s, '{pattern}', '{keep}', 'g') ELSE s END AS s, CASE WHEN regexp_matches(s, '{pattern}') AND NOT list_contains(f, '{name}') THEN list_append(f, '{name}') ELSE f END AS f FROM {last})")
+        last = f"s{k}"
+    return rf"""
+WITH known(sentence, id) AS (VALUES {known}),
+doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+marked AS (SELECT r, string_split_regex(regexp_replace(text, '([.!?;:])[ \t-\r]+', '\1' || chr(10), 'g'), '[\n\r]+') AS cut FROM doc WHERE regexp_matches(text, '(?i){MARKERS}')),
+each AS (SELECT r, unnest(cut) AS raw, unnest(range(len(cut))) AS p FROM marked),
+hit AS (SELECT r, p, id FROM (SELECT r, p, regexp_replace(lower(trim(regexp_replace(raw, '[^A-Za-z0-9.+-]+', ' ', 'g'))), '[ .]+$', '') AS sentence FROM each) JOIN known USING (sentence)),
+seq AS (SELECT r, string_agg(id, ',' ORDER BY p) AS ids FROM hit GROUP BY r),
+s0 AS (SELECT d.r, d.doc_id, coalesce(ids, '') AS ids, coalesce(ids || ',', '') AS s, []::VARCHAR[] AS f FROM doc d LEFT JOIN seq USING (r)),
+{", ".join(steps)}
+SELECT doc_id, ids AS sentence_ids, array_to_string(list_sort(f), ',') AS licenses, len(f)::BIGINT AS n_licenses FROM {last}
+"""
+
+
+ORACLES["op6_license_scan"] = _license_sql()
