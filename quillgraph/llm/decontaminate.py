@@ -72,14 +72,19 @@ def _hits_in_sets(windows: DataFrame) -> tuple[str, str]:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, max_set: int = MAX_SET) -> DataFrame:
-    """``docs`` as a struct column ``own``, with ``words`` and ``hits``, an array of (p, n): n words from word p on."""
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), words_of(F.col("text").cast("string")).alias("words"))
+    """``docs`` as a struct column ``own``, with ``row``, ``words`` and ``hits``, an array of (p, n): n words from word p on.
+
+    Filters on hits must also read ``row``: as it is not deterministic, they then stay above the projection that
+    makes the words, which would otherwise be made anew for every position.
+    """
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
+    held = docs.select(own, words_of(F.col("text").cast("string")).alias("words"), F.monotonically_increasing_id().alias("row"))
     windows = benchmark_windows(benchmark)
     if windows.count() <= max_set:
         anchors, found = _hits_in_sets(windows)
-        return held.withColumn("anchors", F.expr(anchors)).select("own", "words", F.expr(found).alias("hits"))
+        return held.withColumn("anchors", F.expr(anchors)).select("own", "row", "words", F.expr(found).alias("hits"))
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    kept = scratch.keep(held.withColumn("row", F.monotonically_increasing_id()))
+    kept = scratch.keep(held)
     sizes = [r.n for r in windows.select("n").distinct().collect()]  # at most WINDOW values
     at = None
     for n in sizes:
@@ -88,7 +93,7 @@ def find(docs: DataFrame, benchmark: DataFrame, max_set: int = MAX_SET) -> DataF
         at = made if at is None else at.union(made)
     hit = at.join(windows.select("n", "gram").distinct(), ["n", "gram"], "left_semi")
     rows = hit.groupBy("row").agg(F.collect_list(F.struct("p", "n")).alias("hits"))
-    return kept.join(rows, "row", "left").select("own", "words", F.coalesce("hits", F.expr("CAST(array() AS array<struct<p: int, n: int>>)")).alias("hits"))
+    return kept.join(rows, "row", "left").select("own", "row", "words", F.coalesce("hits", F.expr("CAST(array() AS array<struct<p: int, n: int>>)")).alias("hits"))
 
 
 def _covered() -> Column:
@@ -100,7 +105,7 @@ def report(docs: DataFrame, benchmark: DataFrame, max_set: int = MAX_SET) -> Dat
     scratch = Scratch(docs.sparkSession, "contamination")
     grams = F.expr("array_distinct(transform(hits, h -> array_join(slice(words, h.p + 1, h.n), ' ')))")
     rows = find(docs.select("doc_id", "text"), benchmark, max_set).select(
-        F.monotonically_increasing_id().alias("row"), F.col("own.doc_id").alias("doc_id"), F.size("words").cast("long").alias("n_words"), F.size(_covered()).cast("long").alias("n_hit"), grams.alias("grams")
+        "row", F.col("own.doc_id").alias("doc_id"), F.size("words").cast("long").alias("n_words"), F.size(_covered()).cast("long").alias("n_hit"), grams.alias("grams")
     )
     rows = scratch.keep(rows)
     named = benchmark_windows(benchmark).where("item_id is not null").select("gram", F.col("item_id").cast("string").alias("item"))
@@ -114,7 +119,7 @@ def report(docs: DataFrame, benchmark: DataFrame, max_set: int = MAX_SET) -> Dat
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_set: int = MAX_SET) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no benchmark window."""
-    found = find(docs, benchmark, max_set).where(F.size("hits") == 0)
+    found = find(docs, benchmark, max_set).where((F.size("hits") == 0) & (F.col("row") >= 0))
     return found.select(*[F.col(f"own.`{c}`").alias(c) for c in docs.columns])
 
 
