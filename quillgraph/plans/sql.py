@@ -195,3 +195,19 @@ ORACLES: dict[str, str] = {
     "tumbling_counts": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
     "session_windows": "WITH o AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events), s AS (SELECT user_id, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM o), c AS (SELECT user_id, g, count(*) AS n FROM s GROUP BY 1, 2) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY 1",
 }
+
+_RAW = """
+raw AS (SELECT case_id, caller, CASE WHEN ends_with(callee, '.__init__') AND contains(evidence, ' ' || replace(callee, '.__init__', '') || '(') THEN replace(callee, '.__init__', '') ELSE callee END AS callee, 'src/f' || (CAST(substr(caller, 2) AS BIGINT) % 10) || '.py' AS file, line, evidence, pos, CASE WHEN pos % 3 = 0 THEN 0 ELSE 2 END AS q, line = 7 AS tested FROM pred)"""
+
+ORACLES |= {
+    "edge_compare": f"WITH {GOLD_SQL}, {PLAIN} {CASE_SCORES}, a AS (SELECT * FROM scores), {CTOR.replace(SCORE, '').replace('keyed AS', 'keyed2 AS')} {CASE_SCORES.replace('hit AS', 'hit2 AS').replace('FROM keyed k', 'FROM keyed2 k').replace('sums AS', 'sums2 AS').replace('FROM hit GROUP', 'FROM hit2 GROUP').replace('req AS', 'req2 AS').replace('scores AS', 'scores2 AS').replace('JOIN req USING', 'JOIN req2 USING').replace('JOIN sums USING', 'JOIN sums2 USING')} SELECT case_id, a.edge_precision AS edge_precision_before, b.edge_precision AS edge_precision_after, a.edge_recall AS edge_recall_before, b.edge_recall AS edge_recall_after, round_even(b.edge_precision - a.edge_precision, 6) AS edge_precision_delta, round_even(b.edge_recall - a.edge_recall, 6) AS edge_recall_delta FROM a JOIN scores2 b USING (case_id)",
+    "postprocess_stats": f"WITH {GOLD_SQL}, {_RAW}, o AS (SELECT *, CASE WHEN NOT tested THEN row_number() OVER (PARTITION BY case_id, caller, callee, file, line, evidence, tested ORDER BY pos) END AS nth FROM raw), u AS (SELECT *, nth = 1 AS uniq FROM o), c AS (SELECT *, coalesce(uniq, false) AND row_number() OVER (PARTITION BY case_id, caller, callee ORDER BY CASE WHEN coalesce(uniq, false) THEN 0 ELSE 1 END, q, file, line, evidence, pos) = 1 AS chosen FROM u) SELECT case_id, count(*) AS input_edges, 0::BIGINT AS malformed_edges_removed, count(*) FILTER (tested) AS filtered_edges_removed, count(*) FILTER (nth > 1) AS exact_duplicates_removed, count(*) FILTER (coalesce(uniq, false) AND NOT chosen) AS symbol_duplicates_removed, count(*) FILTER (chosen) AS output_edges FROM c GROUP BY 1",
+    "candidate_merge": """WITH r AS (SELECT l_orderkey % 50 AS case_id, 's' || (l_suppkey % 20) AS caller, 'p' || (l_partkey % 20) AS callee, CASE WHEN l_linenumber = 1 THEN 'primary' ELSE 'secondary' END AS status, l_shipdate::VARCHAR AS expression, l_linenumber AS line, l_orderkey * 10 + l_linenumber AS pos FROM lineitem WHERE l_linenumber <> 7),
+        g AS (SELECT case_id, caller, callee, first(struct_pack(s := status, e := expression, l := line) ORDER BY status, pos) AS b, min(status) AS status, min(pos) AS fp, count(*) AS evidence_count, count(DISTINCT struct_pack(s := status, e := expression, l := line)) - 1 AS others FROM r GROUP BY ALL)
+        SELECT case_id, printf('edge-%03d', row_number() OVER (PARTITION BY case_id ORDER BY status, fp, caller, callee)) AS candidate_id, caller, callee, status, evidence_count, least(others, 5) AS more FROM g""",
+    "link_reason_filter": f"WITH {LINKS} SELECT 'kept' AS reason, count(*) AS n FROM links",
+    "py_definitions": "SELECT * FROM (VALUES ('pkg.box', 'pkg.box.Box', 'class', 5, 14), ('pkg.box', 'pkg.box.Box.open', 'function', 6, 9), ('pkg.box', 'pkg.box.Box.close', 'function', 11, 14), ('pkg.box', 'pkg.box.Box.close.inner', 'function', 12, 13)) t(module, symbol, kind, start, \"end\")",
+    "py_calls": "SELECT * FROM (VALUES ('pkg.box', 7, 'h', 'a.b.helper'), ('pkg.box', 8, 'self.close', 'pkg.box.Box.close'), ('pkg.box', 9, 'os.path.join', 'os.path.join')) t(module, line, name, resolved)",
+    "yaml_payloads": "SELECT case_id, pos, caller, callee, file::VARCHAR AS file, line::VARCHAR AS line, evidence, confidence_type::VARCHAR AS confidence_type, notes::VARCHAR AS notes FROM (VALUES ('c1', 0, 'a.b', 'c.d', NULL, NULL, 'x: y', NULL, NULL), ('c2', 0, 'e', 'f', NULL, NULL, NULL, NULL, NULL)) t(case_id, pos, caller, callee, file, line, evidence, confidence_type, notes)",
+    "callee_resolution": "WITH e AS (SELECT p_partkey, ['self.run', 'h', 'h.x', 'obj.go', 'logger.info', 'cls', 'a.b.c', 'q'][(p_partkey % 8 + 1)::INT] AS expression FROM part), h AS (SELECT *, CASE expression WHEN 'q' THEN 'pkg.mod.q' WHEN 'self.run' THEN 'pkg.mod.Box.run' WHEN 'h' THEN 'pkg.helpers.h' WHEN 'h.x' THEN 'pkg.helpers.h.x' WHEN 'obj.go' THEN 'pkg.mod.Obj.go' WHEN 'logger.info' THEN 'logger.info' WHEN 'cls' THEN 'pkg.mod.Box' WHEN 'a.b.c' THEN 'a.b.c' END AS hint FROM e) SELECT *, CASE WHEN expression = 'logger.info' THEN 'filtered_low_value' WHEN starts_with(hint, 'pkg.') THEN 'primary' ELSE 'secondary' END AS status FROM h",
+}
