@@ -85,3 +85,44 @@ SELECT doc_id, ids AS sentence_ids, array_to_string(list_sort(f), ',') AS licens
 
 
 ORACLES["op6_license_scan"] = _license_sql()
+
+
+def _posterior_sql(name: str, groups: str, key: str) -> str:
+    """Prior strength by moments over ``groups`` (key, n, y, up), and each group's posterior a and b."""
+    return f"""
+{name}_rho AS (SELECT coalesce(sum((y - n * up) * (y - n * up) - n * up * (1 - up)) / nullif(sum(n * (n - 1) * up * (1 - up)), 0), 0.0) AS rho FROM {groups} WHERE n > 1),
+{name}_strength AS (SELECT greatest(1.0, least(200.0, CASE WHEN rho <= 0 THEN 200.0 WHEN rho >= 1 THEN 1.0 ELSE (1 - rho) / rho END)) AS s FROM {name}_rho),
+{name} AS (SELECT {key}, s * up + y AS a, s * (1 - up) + n - y AS b FROM {groups}, {name}_strength)"""
+
+
+ORACLES["op5_url_filter"] = rf"""
+WITH p AS (
+    SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+lab AS (SELECT doc_id, max(greatest(1 - quality, toxic)) AS bad FROM labels GROUP BY 1),
+seen AS (SELECT host, bad FROM p JOIN lab ON doc_id = TRY_CAST(nullif(regexp_extract(path, '^/[^/]*/(\d{{1,18}})', 1), '') AS BIGINT) WHERE bad IS NOT NULL),
+cnt AS (SELECT host, count(*) AS n, sum(bad) AS y FROM seen GROUP BY 1),
+bare AS (SELECT DISTINCT host, regexp_replace(host, ':\d*$', '') AS h FROM p),
+base AS (
+    SELECT host, coalesce(n, 0)::DOUBLE AS n, coalesce(y, 0)::DOUBLE AS y, regexp_extract(h, '([^.]*\.(?:(?:co|com|net|org|gov|edu|ac)\.[a-z]{{2}}|[^.]*)|[^.]*)$', 1) AS domain,
+           coalesce(nullif(ltrim(regexp_extract(h, '((?:^|\.)(?:co|com|net|org|gov|edu|ac)\.[a-z]{{2}})$', 1), '.'), ''), regexp_extract(h, '([^.]*)$', 1)) AS suffix
+    FROM bare LEFT JOIN cnt USING (host)),
+dom AS (SELECT domain, sum(n) AS n, sum(y) AS y, max(suffix) AS suffix FROM base GROUP BY 1),
+suf AS (SELECT suffix, sum(n) AS n, sum(y) AS y FROM dom GROUP BY 1),
+suf_up AS (SELECT suf.*, (SELECT (sum(y) + 1) / (sum(n) + 2) FROM suf) AS up FROM suf),
+{_posterior_sql("ps", "suf_up", "suffix")},
+dom_up AS (SELECT dom.*, a / (a + b) AS up FROM dom JOIN ps USING (suffix)),
+{_posterior_sql("pd", "dom_up", "domain")},
+host_up AS (SELECT base.*, a / (a + b) AS up FROM base JOIN pd USING (domain)),
+{_posterior_sql("ph", "host_up", "host")},
+own AS (SELECT host, CASE WHEN a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.25 THEN 'block' ELSE 'allow' END AS own FROM ph),
+ruled AS (
+    SELECT page_id, host, path, own, CASE
+        WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+        WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+        WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+        WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+        WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule
+    FROM p JOIN own USING (host))
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' ELSE own END AS verdict FROM ruled
+"""
