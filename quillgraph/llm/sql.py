@@ -126,3 +126,30 @@ ruled AS (
     FROM p JOIN own USING (host))
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' ELSE own END AS verdict FROM ruled
 """
+
+#: All pairs, exactly; the operators' searches are held against it.
+_REACH = """
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT DISTINCT id AS n, id AS c FROM node UNION SELECT r.n, e.b FROM reach r JOIN edge e ON e.a = r.c),
+root AS (SELECT n AS id, min(c) AS component_id FROM reach GROUP BY 1)"""
+
+ORACLES["op1_near_duplicates"] = rf"""
+WITH RECURSIVE doc AS (
+    SELECT doc_id AS id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+at AS NOT MATERIALIZED (SELECT id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM doc WHERE len(w) > 0),
+sh AS (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS g FROM at),
+node AS (SELECT d.id, count(g) AS n FROM (SELECT DISTINCT id FROM doc) d LEFT JOIN sh USING (id) GROUP BY 1),
+common AS (SELECT x.id AS a, y.id AS b, count(*) AS i FROM sh x JOIN sh y ON x.g = y.g AND x.id < y.id GROUP BY 1, 2),
+link AS (SELECT a, b FROM common JOIN node p ON p.id = a JOIN node q ON q.id = b WHERE 100 * i >= 75 * (p.n + q.n - i)),
+{_REACH}
+SELECT d.doc_id, n AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN node ON node.id = d.doc_id JOIN root ON root.id = d.doc_id
+""".replace("\nat AS NOT MATERIALIZED", "\nplaced AS").replace("FROM at)", "FROM placed)")
+
+ORACLES["op10_embedding_duplicates"] = f"""
+WITH RECURSIVE node AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+fine AS (SELECT * FROM node WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(v, lambda x: x * x)) > 0),
+link AS (SELECT p.id AS a, q.id AS b FROM fine p JOIN fine q ON p.id < q.id AND len(p.v) = len(q.v) WHERE list_inner_product(p.v, q.v) / (sqrt(list_inner_product(p.v, p.v)) * sqrt(list_inner_product(q.v, q.v))) >= 0.95),
+{_REACH},
+counts AS (SELECT a AS id, count(*) AS n_links FROM edge GROUP BY 1)
+SELECT id AS vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, id = component_id AS kept FROM node JOIN root USING (id) LEFT JOIN counts USING (id)
+"""
