@@ -182,9 +182,12 @@ def _settle(stars: DataFrame, links: DataFrame, sets: DataFrame, scratch: Scratc
     least = left.groupBy("key").agg(F.min("n").alias("least"))
     # a member that shares too little even for the smallest set of its bucket has no partner here
     able = scratch.keep(left.join(least, "key").where((F.col("n") - F.col("u")) * (100 + PERCENT) >= (F.col("n") + F.col("least")) * PERCENT).drop("least"))
-    one = able.select("key", *[F.col(c).alias(f"{c}1") for c in ("node", "part", "n", "u")])
-    two = able.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "part", "n", "u")])
-    pairs = one.join(two, (one["key"] == two["key"]) & (F.col("part1") < F.col("part2")) & _possible("n1", "u1", "n2", "u2"))
+    # a pair that shares several buckets comes from the first of them only; a node is in BANDS buckets at most
+    able = able.join(able.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys")), "node")
+    one = able.select("key", *[F.col(c).alias(f"{c}1") for c in ("node", "part", "n", "u", "keys")])
+    two = able.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "part", "n", "u", "keys")])
+    first = F.element_at(F.array_intersect("keys1", "keys2"), 1) == one["key"]
+    pairs = one.join(two, (one["key"] == two["key"]) & (F.col("part1") < F.col("part2")) & _possible("n1", "u1", "n2", "u2") & first)
     pairs = scratch.keep(_ordered(pairs.select(F.col("node1").alias("a"), F.col("node2").alias("b"))))
     if pairs.isEmpty():
         return roots
