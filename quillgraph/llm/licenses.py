@@ -20,7 +20,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MARKERS = "licen[cs]e|copyright|permission|warrant|redistribut|spdx|public domain|as is|liable|gpl|copy of"
+MARKERS = "licen[cs]e|copyright|permission|warrant|redistribut|spdx|public domain|as is|liable|gpl|copy of|(?:released|distributed|available) under|free software"
 
 _CC = {"": "Attribution", "-sa": "Attribution-ShareAlike", "-nc": "Attribution-NonCommercial", "-nd": "Attribution-NoDerivatives", "-nc-sa": "Attribution-NonCommercial-ShareAlike", "-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
 _OPENINGS = ("Licensed under {}", "Released under {}", "This work is licensed under {}", "This project is licensed under {}", "This software is licensed under {}", "Distributed under {}", "Available under {}", "This file is licensed under {}")
@@ -88,7 +88,8 @@ def rule_pattern(ids: tuple[str, ...]) -> tuple[str, str]:
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    cut = F.split(F.regexp_replace(text, r"([.!?;:])[ \t-\r]+", "$1\n"), r"[\n\r]+")
+    tagged = F.regexp_replace(text, "(?i)(SPDX-License-Identifier):", "$1")
+    cut = F.split(F.regexp_replace(tagged, r"([.!?;:])[ \t-\r]+", "$1\n"), r"[\n\r]+")
     normal = F.transform(cut, lambda s: F.regexp_replace(F.lower(F.trim(F.regexp_replace(s, r"[^A-Za-z0-9.+-]+", " "))), r"[ .]+$", ""))
     known = ", ".join(f"'{s}'" for s in SENTENCES)  # letters, digits, blanks, dots, pluses and hyphens only
     table = F.expr(f"map_from_arrays(array({known}), array({', '.join(repr(v) for v in SENTENCES.values())}))")

@@ -74,7 +74,7 @@ def _license_sql() -> str:
     return rf"""
 WITH known(sentence, id) AS (VALUES {known}),
 doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-marked AS (SELECT r, string_split_regex(regexp_replace(text, '([.!?;:])[ \t-\r]+', '\1' || chr(10), 'g'), '[\n\r]+') AS cut FROM doc WHERE regexp_matches(text, '(?i){MARKERS}')),
+marked AS (SELECT r, string_split_regex(regexp_replace(regexp_replace(text, '(?i)(SPDX-License-Identifier):', '\1', 'g'), '([.!?;:])[ \t-\r]+', '\1' || chr(10), 'g'), '[\n\r]+') AS cut FROM doc WHERE regexp_matches(text, '(?i){MARKERS}')),
 each AS (SELECT r, unnest(cut) AS raw, unnest(range(len(cut))) AS p FROM marked),
 hit AS (SELECT r, p, id FROM (SELECT r, p, regexp_replace(lower(trim(regexp_replace(raw, '[^A-Za-z0-9.+-]+', ' ', 'g'))), '[ .]+$', '') AS sentence FROM each) JOIN known USING (sentence)),
 seq AS (SELECT r, string_agg(id, ',' ORDER BY p) AS ids FROM hit GROUP BY r),
