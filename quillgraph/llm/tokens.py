@@ -1,15 +1,15 @@
 """Exact token counts at every prefix of a text, by dynamic programming over its pieces.
 
 A byte-level BPE vocabulary never merges across the pieces that its split pattern makes, so the count at a
-prefix is the count at the last piece boundary before it plus the count of a piece's own prefix. Both are
-stored: the running sum over the pieces of a text (``ends`` and ``counts``), and for each distinct piece the
-counts of all its byte prefixes. The latter follow ``count[k] = count[k - len(t)] + 1`` where t is the last
-token of the prefix of k bytes: the longest vocabulary entry that ends there and that the library keeps
-beside the last token before it. Truncation and budget questions are then look-ups in these arrays.
+prefix is the count at the last piece boundary before it plus the count of a piece's own prefix. The running
+sum over the pieces of a text (``ends`` and ``counts``) is stored; the counts of all byte prefixes of a piece are
+worked out for the piece where a budget falls. They follow ``count[k] = count[k - len(t)] + 1`` where t is the
+last token of the prefix of k bytes: the longest vocabulary entry that ends there and that the library keeps
+beside the last token before it.
 
-Texts that a plain reading of the pattern does not cover (a special token's string inside, or characters
-beyond the Latin blocks, where Unicode versions could differ) are encoded whole by the
-library, and so are texts with one piece of over LONG_PIECE characters.
+Texts that a plain reading of the pattern does not cover (characters beyond the Latin blocks, where Unicode
+versions could differ, or a special token's string inside, which is a piece of its own) are cut by the library's
+own pre-tokenizer. White space at the end of a prefix is one piece there, even where the whole text cuts it.
 
 Defined cases: null is the empty text with 0 tokens; extra columns are ignored; repeated rows are counted
 each.
@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cache
 from itertools import accumulate
 
 import pyarrow as pa
@@ -30,6 +31,8 @@ LIMIT = 1024
 #: Distinct pieces that one worker remembers; beyond it the memory starts afresh.
 REMEMBERED = 400_000
 LONG_PIECE = 2000
+#: What the pattern takes for white space.
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 # texts of these characters are split here; all others by the library
 _PLAIN = re.compile("[\x09-\x0d\x20-\x7e\xa1-\u02af]*")
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -44,8 +47,12 @@ class PrefixCounter:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model
         self.pieces = regex.compile(_PIECES).findall
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self.known: dict[str, int] = {}
+        self.vocabulary: dict[str, int] = {}
+        self.longest = 0
 
     def whole(self, texts: list[str]) -> list[int]:
         """Counts by the library itself."""
@@ -65,21 +72,33 @@ class PrefixCounter:
             known.update(zip(missing, self.whole(missing), strict=True))
             return [known[p] for p in pieces]
 
+    def split(self, text: str) -> list[str]:
+        """The pieces of any text, end to end."""
+        if self.is_plain(text):
+            return self.pieces(text)
+        found = []
+        for k, part in enumerate(self.special.split(text) if self.special else [text]):
+            cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
+            found += [part] * (k % 2) or [part[a:b] for _, (a, b) in cut(part)]
+        return found
+
     def prefixes(self, text: str) -> tuple[list[int], list[int]]:
         """(end of each piece in characters, tokens up to it), both starting at 0."""
-        if not self.is_plain(text):
-            return [0, len(text)], [0, self.whole([text])[0]]
-        pieces = self.pieces(text)
-        if pieces and max(map(len, pieces)) > LONG_PIECE:
-            return [0, len(text)], [0, self.whole([text])[0]]
-        return list(accumulate(map(len, pieces), initial=0)), list(accumulate(self.piece_counts(pieces), initial=0))
-
-    def inner(self, piece: str) -> list[int]:
-        """Tokens of every prefix of one piece, by its number of bytes from 0 on."""
-        alphabet, vocabulary = _byte_alphabet(), self.tokenizer.get_vocab()
+        pieces = self.split(text)
+        counted = self.piece_counts(pieces) if max(map(len, pieces), default=0) <= LONG_PIECE else self.whole(pieces)
+        return list(accumulate(map(len, pieces), initial=0)), list(accumulate(counted, initial=0))
+
+    def inner(self, piece: str, budget: int | None = None) -> list[int]:
+        """Tokens of every prefix of one piece, by its number of bytes from 0 on.
+
+        With ``budget`` the list ends where no longer prefix can have so few tokens.
+        """
+        if not self.longest:
+            self.vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+            self.longest = max(map(len, self.vocabulary))
+        alphabet, vocabulary, longest = _byte_alphabet(), self.vocabulary, self.longest
         data = "".join(alphabet[b] for b in piece.encode())
-        longest = max(map(len, vocabulary))
-        count, last = [0], [""]
+        count, last, over = [0], [""], 0
         for k in range(1, len(data) + 1):
             for a in range(max(0, k - longest), k):
                 token = data[a:k]
@@ -87,20 +106,49 @@ class PrefixCounter:
                     count.append(count[a] + 1)
                     last.append(token)
                     break
+            # a prefix has one token more than one of the ``longest`` before it
+            over = over + 1 if budget is not None and count[-1] > budget else 0
+            if over >= longest:
+                break
         return count
 
     def _stay_apart(self, left: str, right: str) -> bool:
-        model = self.tokenizer.model
-        return [t.value for t in model.tokenize(left + right)] == [left, right]
+        return [t.value for t in self.model.tokenize(left + right)] == [left, right]
+
+    def _inside(self, block: str, budget: int) -> int:
+        """Characters of the longest prefix of one piece with at most ``budget`` tokens."""
+        if budget <= 0:
+            return 0
+        counts = self.inner(block, budget)
+        ends = enumerate(accumulate((len(c.encode()) for c in block), initial=0))
+        return max(k for k, at in ends if at < len(counts) and counts[at] <= budget)
+
+    def fit(self, text: str, budget: int, known: tuple[list[int], list[int]] | None = None) -> int:
+        """Characters of the longest prefix with at most ``budget`` tokens, up to the end of the piece where the budget falls."""
+        ends, counts = known or self.prefixes(text)
+        at = bisect_right(counts, budget) - 1
+        if at < 0 or at == len(ends) - 1:
+            return ends[max(at, 0)]
+        piece = text[ends[at] : ends[at + 1]]
+        blank = len(piece) - len(piece.lstrip(SPACE))
+        inside = self._inside(piece, budget - counts[at]) if blank < len(piece) else 0
+        if inside > blank:
+            return ends[at] + inside
+        first = at  # white space that ends the prefix is one piece
+        while first and not text[ends[first - 1] : ends[first]].strip(SPACE):
+            first -= 1
+        return ends[first] + self._inside(text[ends[first] : ends[at] + blank], budget - counts[first])
 
     def truncate(self, text: str, budget: int) -> str:
-        """The longest run of whole pieces from the start with at most ``budget`` tokens."""
-        ends, counts = self.prefixes(text)
-        if len(ends) == 2 and counts[1] > budget:
-            return ""
-        return text[: ends[bisect_right(counts, budget) - 1]]
+        """The longest run of whole pieces from the start with at most ``budget`` tokens; if none fits, what fits of the first."""
+        ends, counts = known = self.prefixes(text)
+        at = bisect_right(counts, budget) - 1
+        while 0 < at < len(ends) - 1 and text[ends[at] - 1] in SPACE and self.whole([text[: ends[at]]])[0] > budget:
+            at -= 1
+        return text[: ends[at]] if at > 0 else text[: self.fit(text, budget, known)]
 
 
+@cache
 def _byte_alphabet() -> list[str]:
     """The printable characters that byte-level vocabularies write bytes with."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -118,7 +166,7 @@ def counter(path: str) -> PrefixCounter:
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, store: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit, fit_chars (longest whole-piece prefix within the limit).
+    """doc_id, n_bytes, n_tokens, over_limit, fit_chars (longest prefix within the limit).
 
     ``store`` adds the arrays ``ends`` and ``counts`` of every text.
     """
@@ -129,9 +177,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, store: bool = F
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = [own.prefixes(t or "") for t in part.column(1).to_pylist()]
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                rows = [own.prefixes(t) for t in texts]
                 total = [c[-1] for _, c in rows]
-                fit = [e[bisect_right(c, limit) - 1] for e, c in rows]
+                fit = [e[-1] if c[-1] <= limit else own.fit(t, limit, (e, c)) for t, (e, c) in zip(texts, rows, strict=True)]
                 arrays = [part.column(0), part.column(2), pa.array(total, pa.int64()), pa.array([n > limit for n in total], pa.bool_()), pa.array(fit, pa.int64())]
                 if store:
                     arrays += [pa.array([e for e, _ in rows], pa.list_(pa.int32())), pa.array([c for _, c in rows], pa.list_(pa.int32()))]

@@ -46,3 +46,18 @@ def test_whole_table(spark, small, library):
     want = {r.doc_id: library(r.text) for r in docs.collect()}
     assert {r.doc_id: r.n_tokens for r in token_counts(docs, PATH).collect()} == want
     assert token_counts(docs.limit(0), PATH).count() == 0
+
+
+def test_budgets_in_texts_of_any_script_and_in_one_piece(spark, library):
+    own = PrefixCounter(PATH)
+    texts = ["“Quoted” — text… " * 300, "語言模型" * 800, "Слова и числа 12 " * 400, "x" * 5000, "ab<|endoftext|>cd  \n " * 300, "🙂" * 900, " \n\t" * 1500 + "b", " " * 3000 + "end", "a  \n\tb c " * 500]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in token_counts(docs, PATH, limit=300).collect():
+        text, n = texts[r.doc_id], r.fit_chars
+        assert r.n_tokens == library(text) and r.over_limit == (library(text) > 300)
+        assert library(text[:n]) <= 300 and (n == len(text) or n > 0)
+        assert n == len(text) or library(text[: n + 1]) > 300
+    for text in texts:
+        for budget in (3, 7, 50):
+            assert 0 < len(own.truncate(text, budget)) <= own.fit(text, budget) and library(own.truncate(text, budget)) <= budget
+            assert all(library(text[:k]) > budget for k in range(own.fit(text, budget) + 1, min(len(text), own.fit(text, budget) + 20)))
