@@ -1,8 +1,9 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences at line breaks and after . ! ? ; : before white space. A sentence is normalised to
-lower-case ASCII words with single spaces and looked up in a table of known licence sentences, which gives its
-identifier. A text's identifiers in order are then matched against ordered rules: a rule fits if its identifiers
+A text is cut at lines without words and after . ! ? ; : before white space. In between, the longest run of whole
+lines that makes a known licence sentence gives its identifier, so sentences may be wrapped and may follow other
+lines. They are compared as lower-case ASCII words with single spaces. An SPDX line gives the identifier of each
+licence in its expression, -only, -or-later and + left out. A text's identifiers in order are then matched against ordered rules: a rule fits if its identifiers
 occur in its order, others in between; what a rule has used is gone for the rules after it, so that a full notice
 is not also taken for its parts.
 
@@ -26,7 +27,7 @@ _CC = {"": "Attribution", "-sa": "Attribution-ShareAlike", "-nc": "Attribution-N
 _OPENINGS = ("Licensed under {}", "Released under {}", "This work is licensed under {}", "This project is licensed under {}", "This software is licensed under {}", "Distributed under {}", "Available under {}", "This file is licensed under {}")
 _NAMES = {
     "mit": ("the MIT License", "the MIT licence", "MIT"),
-    "apache-2.0": ("the Apache License, Version 2.0", "the Apache License 2.0", "Apache-2.0"),
+    "apache-2.0": ("the Apache License, Version 2.0", "the Apache License 2.0", "Apache-2.0", 'the Apache License, Version 2.0 (the "License")'),
     "isc": ("the ISC License",),
     "mpl-2.0": ("the Mozilla Public License, version 2.0", "the Mozilla Public License 2.0"),
     "bsd-2-clause": ("the BSD 2-Clause License", "the Simplified BSD License"),
@@ -48,6 +49,7 @@ _NOTICES = {
     "apache_comply": "you may not use this file except in compliance with the License.",
     "apache_copy": "You may obtain a copy of the License at",
     "gpl_free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl2_free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
@@ -63,6 +65,10 @@ for _id, _notice in _NOTICES.items():
     # a notice is cut as texts are
     for _part in re.split(r"(?<=[.!?;:])[ \t-\r]+", _notice):
         SENTENCES[normal_sentence(_part)] = _id
+# what notices of several versions share tells none of them
+SENTENCES |= {"this program is free software": "gpl_opening", normal_sentence(_NOTICES["gpl2_free"].split("; ")[1]): "gpl_terms"}
+_SPDX = "spdx-license-identifier "
+_LINES = max(s.count(" ") + 1 for s in SENTENCES)
 
 #: (licence, identifiers in order), the fuller notices first.
 RULES = [
@@ -74,6 +80,7 @@ RULES = [
     ("BSD-2-CLAUSE", ("bsd_terms", "bsd_source", "bsd_binary")),
     ("APACHE-2.0", ("is_apache-2.0", "apache_comply", "apache_copy")),
     ("GPL-3.0", ("gpl_free",)),
+    ("GPL-2.0", ("gpl2_free",)),
     ("UNLICENSE", ("unlicense",)),
     *((licence.upper(), (f"is_{licence}",)) for licence in _NAMES),
 ]
@@ -89,11 +96,39 @@ def rule_pattern(ids: tuple[str, ...]) -> tuple[str, str]:
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     tagged = F.regexp_replace(text, "(?i)(SPDX-License-Identifier):", "$1")
-    cut = F.split(F.regexp_replace(tagged, r"([.!?;:])[ \t-\r]+", "$1\n"), r"[\n\r]+")
-    normal = F.transform(cut, lambda s: F.regexp_replace(F.lower(F.trim(F.regexp_replace(s, r"[^A-Za-z0-9.+-]+", " "))), r"[ .]+$", ""))
+    parts = F.split(tagged, r"(?<=[.!?;:])[ \t-\r]+|(?:\r\n|\n|\r(?!\n))[^A-Za-z0-9\n\r]*[\n\r]+")
     known = ", ".join(f"'{s}'" for s in SENTENCES)  # letters, digits, blanks, dots, pluses and hyphens only
     table = F.expr(f"map_from_arrays(array({known}), array({', '.join(repr(v) for v in SENTENCES.values())}))")
-    return F.transform(F.filter(normal, lambda s: s.isin(*SENTENCES)), lambda s: F.element_at(table, s))
+    openings = {s.split(" ")[0] for s in SENTENCES}
+
+    def end(joined: Column) -> Column:
+        return F.regexp_replace(joined, r"[ .]+$", "")
+
+    def known_in(part: Column) -> Column:
+        normal = F.transform(F.split(part, r"[\n\r]+"), lambda s: F.regexp_replace(F.lower(F.trim(F.regexp_replace(s, r"[^A-Za-z0-9.+-]+", " "))), r"^[-+. ]+", ""))
+        lines = F.filter(normal, lambda s: s != "")
+
+        def run_from(held: Column, i: Column) -> Column:
+            """(identifiers of the run that starts at line i, its number of lines)."""
+            line = F.element_at(held, i)
+            none = F.struct(F.array().cast("array<string>").alias("ids"), F.lit(1).alias("n"))
+            names = F.transform(F.split(F.substring(line, len(_SPDX) + 1, 1 << 30), " +"), lambda x: F.element_at(table, F.concat(F.lit(_SPDX), F.regexp_replace(F.regexp_replace(x, r"[.]+$", ""), r"(?:-only|-or-later|\+)$", ""))))
+            sizes = F.sequence(F.least(F.lit(_LINES), F.size(held) - i + 1), F.lit(1), F.lit(-1))
+            fits = F.filter(sizes, lambda n: end(F.array_join(F.slice(held, i, n), " ")).isin(*SENTENCES))
+            run = F.transform(F.slice(fits, 1, 1), lambda n: F.struct(F.array(F.element_at(table, end(F.array_join(F.slice(held, i, n), " ")))).alias("ids"), n.alias("n")))
+            spdx = F.struct(F.array_compact(names).alias("ids"), F.lit(1).alias("n"))
+            first = F.regexp_replace(F.substring_index(line, " ", 1), r"[.]+$", "")
+            return F.when(line.startswith(_SPDX), spdx).when(first.isin(*openings), F.coalesce(F.get(run, F.lit(0)), none)).otherwise(none)
+
+        def step(acc: Column, i: Column, held: Column) -> Column:
+            found = F.transform(F.array(run_from(held, i)), lambda x: F.struct(F.concat(acc["ids"], x["ids"]).alias("ids"), (i + x["n"]).cast("int").alias("next")))
+            return F.when(i < acc["next"], acc).otherwise(F.element_at(found, 1))
+
+        start = F.struct(F.array().cast("array<string>").alias("ids"), F.lit(1).alias("next"))
+        ids = F.transform(F.array(lines), lambda held: F.when(F.size(held) > 0, F.aggregate(F.sequence(F.lit(1), F.size(held)), start, lambda acc, i: step(acc, i, held))["ids"]))
+        return F.coalesce(F.element_at(ids, 1), F.array().cast("array<string>"))
+
+    return F.flatten(F.transform(parts, known_in))
 
 
 def scan(docs: DataFrame) -> DataFrame:
