@@ -69,7 +69,7 @@ def index_limits(spark, sf):
 @query
 def normalised_text(spark, sf):
     docs = table(spark, sf, "documents")
-    return docs.select("doc_id", text.evidence_text(F.substring("text", 1, 300)).alias("evidence"), text.safe_name(F.substring("text", 1, 40)).alias("slug"), text.pack_tokens("text").alias("pack_tokens"), text.tool_tokens("text").alias("tool_tokens"))
+    return docs.select("doc_id", text.evidence_text("text").alias("evidence"), text.safe_name("text").alias("slug"), text.pack_tokens("text").alias("pack_tokens"), text.tool_tokens("text").alias("tool_tokens"))
 
 
 @query
