@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -102,14 +103,13 @@ def bm25_by_lang(spark, sf):
 
 
 def _keyword_pairs(spark, sf):
-    """Every query with every document: substring points have no key to join on. The query set is counted first."""
-    items = table(spark, sf, "benchmark").select("item_id", F.slice(text.query_terms("text"), 1, 8).alias("terms"))
-    if items.limit(4097).count() > 4096:
-        raise ValueError("more than 4096 queries: pass them in blocks")
+    """Every query, by all of its terms, with every document: substring points have no key to join on. Queries go in blocks."""
+    items = table(spark, sf, "benchmark").select("item_id", text.query_terms("text").alias("terms"))
     docs = table(spark, sf, "documents").select("doc_id", "text", F.lower("text").alias("low"))
     own = fixtures.doc_terms(spark, sf).groupBy("doc_id").agg(F.collect_list("term").alias("own"))  # at most 64 a document
     held = docs.join(own, "doc_id", "left").withColumn("own", F.coalesce("own", F.array().cast("array<string>")))
-    return held.crossJoin(F.broadcast(items)).select("item_id", "doc_id", rank.keyword_score(F.col("text"), F.col("terms"), F.col("own"), low=F.col("low")).alias("keyword"))
+    pairs = reduce(DataFrame.union, [held.crossJoin(F.broadcast(b)) for b in rank.blocks(items, "item_id")])
+    return pairs.select("item_id", "doc_id", rank.keyword_score(F.col("text"), F.col("terms"), F.col("own"), low=F.col("low")).alias("keyword"))
 
 
 @query
