@@ -15,7 +15,7 @@ email   shape                                 letters and digits before the @
 secret  known key shapes, key = hex value     letters and digits of the value
 
 Digits stay digits, letters stay letters of their case, all other signs stay. A text is searched only if it has
-a digit or an @; one pass finds the values, one cuts the text between them.
+a digit, an @ or the name of a secret before = or :; one pass finds the values, one cuts the text between them.
 
 Defined cases: null stays null; a text without values stays as it is; values that fail their check stay;
 repeated rows are changed alike; extra columns stay. Slashed dates are read month first if that is a day, else
@@ -30,17 +30,25 @@ from pyspark.sql import functions as F
 ROUNDS = 10
 KEY = "quillgraph"
 
+#: Countries by the length of their IBANs.
+_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+_OWN = "|".join(f"(?:{c.replace(' ', '|')})\\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + f"(?: ?[A-Z0-9]{{{n % 4}}})" * (n % 4 > 0) + r"\b" for n, c in _LENGTHS.items())
+# other countries, and lengths that have changed, by the general form
+_IBAN = rf"\b(?=[A-Z]{{2}}\d{{2}})(?:{_OWN}|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?\b)"
+
 #: In this order; the first that fits at a place wins.
 SHAPES = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
     "secret": r"\bAKIA[A-Z0-9]{16}\b|(?i:\b(?:password|passwd|token|secret|api_?key)\b)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9]{12,}",
-    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "iban": _IBAN,
     "date": r"(?<![\d./\-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/\-]|\.\d)",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "phone": r"\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,3}(?!\d)|\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])",
     "card": r"(?<!\d)(?:\d{13,19}|\d{4} \d{4} \d{4} \d{1,7}|\d{4}-\d{4}-\d{4}-\d{1,7}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)",
 }
+#: Texts without it hold no value.
+HINT = r"[0-9@]|(?i:password|passwd|token|secret|api_?key)\s{0,3}[=:]"
 ANY = "|".join(f"(?:{shape})" for shape in SHAPES.values())
 
 
@@ -115,13 +123,16 @@ def _card(key: str) -> str:
 
 
 def _iban(key: str) -> str:
-    bare = "replace(m, ' ', '')"
+    # what follows in capitals or digits may be in the match: the longest valid start counts
+    bare = "replace(substr(m, 1, e), ' ', '')"
     valid = f"length({bare}) BETWEEN 15 AND 34 AND {_mod97(f'concat(substr({bare}, 5), substr({bare}, 1, 4))')} = 1"
     shuffled = _signs("iban", key, "m", "4", "length(m)")
     inner = "replace(w, ' ', '')"
     check = f"lpad(CAST(98 - {_mod97(f'''concat(substr({inner}, 5), substr({inner}, 1, 2), '00')''')} AS string), 2, '0')"
     fresh = f"concat(substr(w, 1, 2), {check}, substr(w, 5))"
-    return f"IF({valid}, {_with(shuffled, 'w', fresh)}, m)"
+    ends = f"filter(transform(sequence(0, length(m) - 1), d -> length(m) - d), e -> (e = length(m) OR substr(m, e + 1, 1) = ' ') AND {valid})"
+    one = _with("substr(m, 1, e)", "m", _with(shuffled, "w", fresh))
+    return f"coalesce(get(transform(slice({ends}, 1, 1), e -> concat({one}, substr(m, e + 1))), 0), m)"
 
 
 def _ssn(key: str) -> str:
@@ -194,7 +205,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text", found: str
     """``docs``, all columns, with pseudonyms in ``text``; ``found`` names an added array of (kind, changed) if wanted."""
     own = [F.col(f"`{c}`") for c in docs.columns if c != text]
     held = docs.select(F.struct(*own, F.lit(1).alias("__one")).alias("own"), F.col(f"`{text}`").cast("string").alias("t"))
-    searched = F.when(F.col("t").rlike("[0-9@]"), F.regexp_extract_all("t", F.lit(ANY), 0)).otherwise(F.array().cast("array<string>"))
+    searched = F.when(F.col("t").rlike(HINT), F.regexp_extract_all("t", F.lit(ANY), 0)).otherwise(F.array().cast("array<string>"))
     held = held.withColumn("ms", searched)
     named = _with(_kind(), "k", f"named_struct('m', m, 'k', k, 'p', {_pseudonym(key)})")
     held = held.withColumn("ps", F.expr(f"transform(ms, m -> {named})"))

@@ -70,3 +70,13 @@ def test_defined_cases(spark):
     assert (0, f"{ip} {ip}") in got and (1, None) in got and (2, "") in got and (3, "no values 7") in got
     assert any(i == 4 and t == "word " * 20000 + f"{ip} end" for i, t in got)
     assert pii.pseudonymise(frame.limit(0)).count() == 0
+
+
+def test_secrets_of_letters_and_ibans_before_capitals(spark):
+    plain, other = changed(spark, ["password: correcthorsebattery", "7 password: correcthorsebattery"])
+    assert plain.startswith("password: ") and "correcthorsebattery" not in plain and other == f"7 {plain}"
+    values = [a + b for a in ("ES9121000418450200051332", "ES91 2100 0418 4502 0005 1332", "BE68539007547034", "GB29 NWBK 6016 1331 9268 19", "XX46370400440532013000") for b in ("", " EUR", " 1234")]
+    for k, new in enumerate(got := changed(spark, values)):
+        tail = ("", " EUR", " 1234")[k % 3]
+        assert new.endswith(tail) and new != values[k] and new.removesuffix(tail) == got[k - k % 3]
+    assert changed(spark, ["ES9121000418450200051333 EUR"]) == ["ES9121000418450200051333 EUR"]
