@@ -4,24 +4,27 @@ Signatures come from one-permutation hashing: the 64-bit hash range is cut into
 bin keeps its least hash; an empty bin copies the bin that a fixed probe sequence reaches first (optimal
 densification). Bands of ROWS bins make buckets. In a bucket every member is paired with the smallest id
 only (a star), so a bucket of m documents costs m - 1 pairs. Each pair is confirmed on the full shingle
-sets. Where a star leaves a bucket's members in several components, a second star and then the pairs across
-those components that an exact bound allows are tried as well, so that no link inside a bucket is lost.
+sets. Where a star leaves a bucket's members in several components, further stars settle it: around its least
+edited member (buckets with such members in one component are settled as one group), then in the smaller groups of
+members that share a shingle which this hub has not (see ``_around_hubs``), until every group is in one component or small enough for a tile of TILE members that
+one task compares. No link inside a bucket is lost, and no round makes more than one pair a member.
 
 Documents with equal sets are one class from the start (grouped by a 128-bit digest of the set), so copies
 never meet in a bucket, whatever their number.
 
 Defined cases: null or blank text has no shingles and links with nothing; fewer than five words make one
-shingle; rows that share a doc_id are one document whose links are joined; a null doc_id links with nothing
-and is kept; extra columns are ignored.
+shingle; rows that share a doc_id are one document whose links are joined, also where their texts differ; a null
+doc_id links with nothing and is kept; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import shared
@@ -31,6 +34,8 @@ WORDS = 5
 PERCENT = 75
 #: 32 bands of 4 bins: a pair at similarity 0.75 is missed with probability (1 - 0.75**4)**32 = 5e-6.
 BANDS, ROWS = 32, 4
+#: Groups of at most so many members, and shingles in all, are settled in one task.
+TILE, TILE_SHINGLES = 64, 1 << 20
 
 _MIX = np.random.default_rng(71).integers(1, 2**63, WORDS + ROWS + BANDS + 8, dtype=np.uint64) | np.uint64(1)
 _SHORT_SALT = np.arange(WORDS, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -121,7 +126,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in shared.row_groups(offsets):
             part = offsets[a : b + 1]
             sets, at = shingle_sets(data[part[0] : part[-1]], part - part[0])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(as_long(sets)))], names=["node", "shingles"])
+            digest = as_long(_digests(sets, at).T.copy().ravel())
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(as_long(sets)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(digest[: b - a]), pa.array(digest[b - a :]), lists], names=["node", "d1", "d2", "shingles"])
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -133,69 +140,160 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(least * 100 >= most * PERCENT).select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb")).alias("s")).where(F.col("i") * 100 >= (F.col("s") - F.col("i")) * PERCENT).select("a", "b").distinct()
 
 
-def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    picked = docs.join(nodes.hint("shuffle_hash"), docs["doc_id"] == nodes["node"], "left_semi")
-    return picked.mapInArrow(_sets, "node long, shingles array<long>")
+def _sets_of(docs: DataFrame, signed: DataFrame, classes: DataFrame, nodes: DataFrame, same_id: DataFrame | None, repeated: bool) -> DataFrame:
+    """node, shingles of each of ``nodes``, once."""
+    schema = "node long, d1 long, d2 long, shingles array<long>"
+    if same_id is None:
+        made = docs.join(nodes.hint("shuffle_hash"), docs["doc_id"] == nodes["node"], "left_semi").mapInArrow(_sets, schema)
+    else:
+        asked = classes.join(nodes, "node", "left_semi").select("d1", "d2", "node")
+        ids = signed.join(asked, ["d1", "d2"], "left_semi").select("doc_id").distinct()
+        made = docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sets, schema).drop("node").join(asked, ["d1", "d2"])
+    made = made.select("node", "shingles")
+    return made.dropDuplicates(["node"]) if repeated else made
 
 
-def _open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """key, node, part of the buckets whose members are in several components."""
-    joined = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("part"))
-    split = joined.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
-    return joined.join(split, "key", "left_semi")
-
-
-def _private(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+def _sizes(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """node, n, u: the size of its set and how many of its shingles no other of these nodes has."""
     own = sets.join(nodes, "node", "left_semi")
     alone = own.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
     counts = alone.groupBy("node").agg(F.count("*").alias("u"))
-    return own.select("node", F.size("shingles").alias("n")).join(counts, "node", "left").select("node", "n", F.coalesce("u", F.lit(0)).alias("u"))
-
+    return own.select("node", F.size("shingles").cast("long").alias("n")).join(counts, "node", "left").select("node", "n", F.coalesce("u", F.lit(0).cast("long")).alias("u"))
 
-def _possible(n1: str, u1: str, n2: str, u2: str) -> Column:
-    """Whether two sets can reach PERCENT: at most n - u shingles are common, and the rest of n1 + n2 is in the union."""
-    most = F.least(F.col(n1) - F.col(u1), F.col(n2) - F.col(u2))
-    return most * (100 + PERCENT) >= (F.col(n1) + F.col(n2)) * PERCENT
 
+def _open(members: DataFrame) -> DataFrame:
+    """The members (key, node, home, part, n, u) of groups that still hold several components, with ``tile``.
 
-def _settle(stars: DataFrame, links: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Roots after the buckets that stars leave in several components are settled.
-
-    Shingles that one member alone has bound what it can share, which rules most pairs out exactly. A second
-    star, around the member with the fewest of them (the least edited), joins most of what is left; the
-    remaining pairs across components that the bound allows are then tried one by one.
+    A member whose private shingles leave too few to share, even with the smallest set of its group, has no
+    partner there and goes. Of groups with the same members one stays. ``tile`` marks groups that fit a tile.
+    """
+    least = members.groupBy("key").agg(F.min("n").alias("least"))
+    able = members.join(least, "key").where((F.col("n") - F.col("u")) * (100 + PERCENT) >= (F.col("n") + F.col("least")) * PERCENT).drop("least")
+    digests = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
+    facts = able.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), *digests, F.count("*").alias("m"), F.sum("n").alias("total")).where("p < q")
+    first = facts.groupBy("h1", "h2", "m").agg(F.min("key").alias("key"), F.max("total").alias("total"))
+    return able.join(first.select("key", ((F.col("m") <= TILE) & (F.col("total") <= TILE_SHINGLES)).alias("tile")), "key")
+
+
+def _tile_links(table: pa.Table) -> pa.Table:
+    """Links across the components of one group of at most TILE members, as pairs of their homes."""
+    homes, parts = table.column("home").to_pylist(), table.column("part").to_pylist()
+    lists = table.column("shingles").combine_chunks()
+    sets = [lists[i].values.to_numpy() for i in range(len(lists))]
+    root = {p: p for p in parts}
+    found: list[tuple[int, int]] = []
+    for i, own in enumerate(sets):
+        for j in range(i):
+            size = len(own) + len(sets[j])
+            if root[parts[i]] == root[parts[j]] or min(len(own), len(sets[j])) * (100 + PERCENT) < size * PERCENT:
+                continue
+            if len(np.intersect1d(own, sets[j], assume_unique=True)) * (100 + PERCENT) >= size * PERCENT:
+                found.append((homes[i], homes[j]))
+                gone, stays = root[parts[i]], root[parts[j]]
+                root = {p: stays if r == gone else r for p, r in root.items()}
+    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+
+def _meet(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, i, extra: how many shingles of b the hub a has, and those it has not."""
+    with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    both = with_b.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+    apart = both.select("a", "b", F.size("sb").alias("n"), F.array_except("sb", "sa").alias("extra"))
+    return apart.select("a", "b", (F.col("n") - F.size("extra")).cast("long").alias("i"), "extra")
+
+
+def _merged(rows: DataFrame, found: list[DataFrame], scratch: Scratch, names: tuple[str, ...]) -> DataFrame:
+    """``rows`` with a ``part`` from each home column, after the links between homes found so far."""
+    if not found or all(f.isEmpty() for f in found):
+        return rows
+    merges = components(reduce(DataFrame.union, found), scratch)
+    for name in names:
+        home, part = f"{name}home", f"{name}part"
+        rows = rows.drop(part).join(merges.select(F.col("node").alias(home), F.col("root").alias(part)), home, "left").withColumn(part, F.coalesce(part, home))
+    return rows
+
+
+def _around_hubs(members: DataFrame, sets: DataFrame, found: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """One round of stars around the least edited member of each group: adds its links to ``found``, returns smaller groups.
+
+    Let c be the hub and x a member outside its component. At most |x & c| shingles that x shares with a member
+    lie in c, so it must share at least q = ceil(0.75 / 1.75 * (|x| + least)) - |x & c| shingles outside c, where
+    least is the smallest size in the group. So pairs across components meet again in the groups of one shingle
+    outside c, of which each member enters all but its q - 1 commonest. Where q < 1, the only other partners are
+    smaller than c (or x would be linked to c): x and the smaller members form one more group. The hub is in none
+    of the new groups, so the rounds end; each costs one pair a member, whatever the size of the group.
     """
-    roots = components(links, scratch)
+    hubs = members.groupBy("key").agg(F.min(F.struct("u", "node", "n", "home", "part")).alias("c"), F.min("n").alias("least"))
+    hubs = hubs.select("key", F.col("c.node").alias("a"), F.col("c.n").alias("cn"), F.col("c.home").alias("chome"), F.col("c.part").alias("cpart"), "least")
+    rows = scratch.keep(members.drop("tile").join(hubs, "key").where("node <> a"))
+    met = scratch.keep(_meet(rows.select("a", F.col("node").alias("b")).distinct(), sets))
+    rows = rows.join(met.withColumnRenamed("b", "node"), ["a", "node"])
+    near = F.col("i") * (100 + PERCENT) >= (F.col("n") + F.col("cn")) * PERCENT
+    found.append(scratch.keep(rows.where((F.col("part") != F.col("cpart")) & near).select(F.col("home").alias("a"), F.col("chome").alias("b")).distinct()))
+    rows = _merged(rows, found, scratch, ("", "c")).withColumn("lone", F.col("part") != F.col("cpart"))
+    rows = rows.withColumn("q", F.expr(f"((n + least) * {PERCENT} + {99 + PERCENT}) div {100 + PERCENT} - i"))
+    rows = scratch.keep(rows.join(rows.where("lone").select("key").distinct(), "key", "left_semi"))
+    own = ["node", "home", "part", "n", "u"]
+    shared_out = rows.select("key", *own, "lone", F.greatest("q", F.lit(1)).alias("q"), F.explode("extra").alias("s"))
+    common = shared_out.groupBy("key", "s").agg(F.count("*").alias("f")).where("f > 1")
+    listed = shared_out.join(common, ["key", "s"]).groupBy("key", *own, "lone", "q").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("list"))
+    fit = F.greatest(F.size("list") - F.col("q") + 1, F.lit(0)).cast("int")
+    taken = listed.select("key", *own, "lone", F.explode(F.slice("list", F.lit(1), fit)).alias("x")).select("key", *own, "lone", "x.s")
+    asked = taken.where("lone").select("key", "s").distinct()
+    outside = taken.join(asked, ["key", "s"], "left_semi").select(F.xxhash64("key", "s").alias("key"), *own)
+    unsure = F.col("lone") & (F.col("q") < 1)
+    smaller = rows.where(unsure | (F.col("n") < F.col("cn"))).join(rows.where(unsure).select("key").distinct(), "key", "left_semi").select(F.xxhash64("key", F.lit("smaller")).alias("key"), *own)
+    return outside.union(smaller)
+
+
+def _settle(stars: DataFrame, roots: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(node, root) of components that join when the buckets that stars leave in several of them are settled."""
     many = stars.where("m > 2")
     members = many.select("key", F.col("b").alias("node")).union(many.select("key", F.col("a").alias("node")).distinct())
-    left = scratch.keep(_open_members(members, roots))
+    members = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("home"))
+    split = members.groupBy("key").agg(F.min("home").alias("p"), F.max("home").alias("q")).where("p < q").select("key")
+    left = scratch.keep(members.join(split, "key", "left_semi"))
     if left.isEmpty():
-        return roots
-    facts = scratch.keep(_private(left.select("node").distinct(), sets))
-    known = scratch.keep(left.join(facts, "node"))
-    centre = known.groupBy("key").agg(F.min(F.struct("u", "node", "n", "part")).alias("c")).select("key", F.col("c.u").alias("cu"), F.col("c.node").alias("a"), F.col("c.n").alias("cn"), F.col("c.part").alias("cpart"))
-    again = known.join(centre, "key").where((F.col("part") != F.col("cpart")) & _possible("n", "u", "cn", "cu"))
-    links = scratch.keep(links.union(_confirm(_ordered(again.select("a", F.col("node").alias("b"))), sets)))
-    roots = components(links, scratch)
-    left = _open_members(known.select("key", "node"), roots).join(facts, "node")
-    least = left.groupBy("key").agg(F.min("n").alias("least"))
-    # a member that shares too little even for the smallest set of its bucket has no partner here
-    able = scratch.keep(left.join(least, "key").where((F.col("n") - F.col("u")) * (100 + PERCENT) >= (F.col("n") + F.col("least")) * PERCENT).drop("least"))
-    # a pair that shares several buckets comes from the first of them only; a node is in BANDS buckets at most
-    able = able.join(able.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys")), "node")
-    one = able.select("key", *[F.col(c).alias(f"{c}1") for c in ("node", "part", "n", "u", "keys")])
-    two = able.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "part", "n", "u", "keys")])
-    first = F.element_at(F.array_intersect("keys1", "keys2"), 1) == one["key"]
-    pairs = one.join(two, (one["key"] == two["key"]) & (F.col("part1") < F.col("part2")) & _possible("n1", "u1", "n2", "u2") & first)
-    pairs = scratch.keep(_ordered(pairs.select(F.col("node1").alias("a"), F.col("node2").alias("b"))))
-    if pairs.isEmpty():
-        return roots
-    return components(links.union(_confirm(pairs, sets)), scratch)
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return None
+    facts = scratch.keep(_sizes(left.select("node").distinct(), sets))
+    buckets = scratch.keep(_open(left.join(facts, "node").withColumn("part", F.col("home"))).drop("tile"))
+    # a component's members meet in many buckets: those whose least edited member is of one component become one group
+    middle = buckets.groupBy("key").agg(F.min(F.struct("u", "node", "part")).alias("c")).select("key", F.col("c.part").alias("whole"))
+    members = buckets.join(middle, "key").select(F.col("whole").alias("key"), "node", "home", "part", "n", "u").distinct()
+    members = scratch.keep(_open(members))
+    found: list[DataFrame] = []
+    while True:
+        sizes = {r.tile: r["count"] for r in members.groupBy("tile").count().collect()}
+        if True in sizes:
+            tiles = members.where("tile").join(sets, "node").select("key", "home", "part", "shingles")
+            found.append(scratch.keep(tiles.groupBy("key").applyInArrow(_tile_links, "a long, b long")))
+        if False not in sizes:
+            break
+        after = scratch.keep(_open(_around_hubs(members.where("not tile"), sets, found, scratch)))
+        scratch.drop(members)
+        members = after
+    if not found or all(f.isEmpty() for f in found):
+        return None
+    return components(reduce(DataFrame.union, found), scratch)
+
+
+def _classes(usable: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None, bool]:
+    """(d1, d2, node, bands of each distinct set; links that join the sets of one id, or None; whether any id is repeated).
+
+    A set's node is its smallest doc_id; where an id has several sets, a hash of the set stands for it instead.
+    """
+    classes = usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands"))
+    digest = F.struct("d1", "d2")
+    again = scratch.keep(usable.groupBy("doc_id").agg(F.count("*").alias("c"), F.min(digest).alias("p"), F.max(digest).alias("q")).where("c > 1").select("doc_id", F.expr("p <> q").alias("differ")))
+    kinds = {r.differ for r in again.select("differ").distinct().collect()}
+    if True not in kinds:
+        return scratch.keep(classes), None, bool(kinds)
+    split = again.where("differ").select("doc_id")
+    named = classes.join(split.select(F.col("doc_id").alias("node"), F.lit(True).alias("split")), "node", "left")
+    classes = scratch.keep(named.withColumn("node", F.when(F.col("split"), F.xxhash64("d1", "d2")).otherwise(F.col("node"))).select("d1", "d2", "node", "bands"))
+    joined = usable.join(split, "doc_id", "left_semi").join(classes, ["d1", "d2"]).select("doc_id", "node").distinct()
+    least = joined.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return classes, joined.join(least, "doc_id").select("a", F.col("node").alias("b")).where("a <> b").distinct(), True
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -205,22 +303,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.keep(docs.mapInArrow(_sign, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"))
     usable = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = scratch.keep(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands")))
+    classes, same_id, repeated = _classes(usable, scratch)
     rows = classes.select("node", F.explode("bands").alias("key"))
     centres = rows.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("m")).where("m > 1")
     stars = scratch.keep(rows.join(centres, "key").where("node <> a").select("key", "a", F.col("node").alias("b"), "m"))
     pairs = stars.select("a", "b").distinct()
     nodes = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = scratch.keep(_sets_of(docs, nodes))
-    links = scratch.keep(_confirm(pairs, sets))
-    roots = _settle(stars, links, sets, scratch)
+    sets = scratch.keep(_sets_of(docs, signed, classes, nodes, same_id, repeated))
+    links = _confirm(pairs, sets)
+    roots = components(links if same_id is None else links.union(same_id), scratch)
+    merges = _settle(stars, roots, sets, scratch)
     by_class = classes.join(roots, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("component_id"))
+    if merges is not None:
+        by_class = by_class.join(merges.select(F.col("node").alias("component_id"), "root"), "component_id", "left").select("d1", "d2", F.coalesce("root", "component_id").alias("component_id"))
+    by_class = scratch.keep(by_class)
     found = signed.select("doc_id", "n_shingles", "d1", "d2").join(by_class, ["d1", "d2"], "left")
+    if same_id is not None:
+        # hashes may be roots: the smallest id of each component takes their place
+        smallest = found.where("n_shingles > 0").groupBy("component_id").agg(F.min("doc_id").alias("least"))
+        found = found.join(smallest, "component_id", "left").withColumn("component_id", F.col("least"))
+    scratch.keep_only(signed, by_class)
     own = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
     return found.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose document stands for its group."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    """The rows of ``docs``, all columns, whose document stands for its group; rows that share its id stay together."""
+    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(shared.fresh_name(docs.columns, "gone"))).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[gone.columns[0]], "left_anti")

@@ -50,6 +50,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
         self.count = 0
+        self.paths: list[str] = []
 
     def keep(self, frame: DataFrame) -> DataFrame:
         self.count += 1
@@ -62,15 +63,26 @@ class Scratch:
         finally:
             for key, value in before.items():
                 self.spark.conf.unset(key) if value is None else self.spark.conf.set(key, value)
+        self.paths.append(path)
         kept = self.spark.read.schema(frame.schema).parquet(path)
         kept._scratch_path = path
         return kept
 
+    def keep_only(self, *frames: DataFrame) -> None:
+        """Removes all tables kept so far but these."""
+        stay = {frame._scratch_path for frame in frames}
+        self._remove([path for path in self.paths if path not in stay])
+
     def drop(self, *frames: DataFrame) -> None:
+        self._remove([frame._scratch_path for frame in frames])
+
+    def _remove(self, paths: list[str]) -> None:
         jvm = self.spark._jvm
-        for frame in frames:
-            path = jvm.org.apache.hadoop.fs.Path(frame._scratch_path)
+        for name in paths:
+            path = jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            if name in self.paths:
+                self.paths.remove(name)
 
 
 def fresh_name(taken: list[str], wanted: str) -> str:

@@ -75,6 +75,31 @@ def test_repeated_rows_and_ids(spark):
     assert kept.columns == ["doc_id", "text", "gone"] and {r.doc_id for r in kept.collect()} >= {1}
 
 
+def test_rows_of_an_id_in_different_groups(spark):
+    a, b = words(60, 7), words(60, 8)
+    rows = [(3, " ".join(a)), (7, " ".join(a)), (7, " ".join(b)), (9, edited(b, [3], "z")), (11, " ".join(words(30, 9))), (4, None), (4, "x y z u v w")]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(3, 3, True), (4, 4, True), (4, 4, True), (7, 3, False), (7, 3, False), (9, 3, False), (11, 11, True)]
+
+
+def test_groups_over_a_tile_are_settled_by_stars_alone(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "TILE", 2)
+    base = words(150, 12)
+    rng = np.random.default_rng(15)
+    rows = [(k, edited(base, rng.choice(150, rng.integers(0, 11), replace=False), f"e{k % 40}_")) for k in range(90)]
+    # sizes differ as well: some are cut or carry more
+    rows += [(200 + k, " ".join(edited(base, rng.choice(150, 3, replace=False), f"c{k}_").split()[: 150 - 4 * k] + words(2 * k, 300 + k))) for k in range(12)]
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"w{k}" for k in range(300_000))
+    rows = [(1, long), (2, long + " tail"), (3, "a b c d e f g")]
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 299_996), 2: (1, 299_997), 3: (3, 3)}
+
+
 def test_empty_table(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
