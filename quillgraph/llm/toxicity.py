@@ -15,6 +15,8 @@ The model is fitted on a bounded sample: up to ``per_class`` toxic rows and CLEA
 times as many others, picked by a hash of the id
 among labelled rows that may be learnt from, none over ``max_chars``, whole texts. All whole texts are scored.
 
+Scores are rounded to nine digits. A text's score depends on the text and the sample alone, not on its partition.
+
 Defined cases: null, empty and wordless texts get the score of a text without words; ties in labels of one
 doc_id count as toxic; with nothing to learn from every score is 0; repeated rows are scored each; extra
 columns are ignored.
@@ -68,14 +70,17 @@ def read_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _respond(vectors: np.ndarray, first: np.ndarray, net: Network) -> list[np.ndarray]:
-    """Filter answers at every position where all words of the span lie in one text; -inf elsewhere."""
+    """Filter answers at every position where all words of the span lie in one text; -inf elsewhere.
+
+    Products are added one coordinate after another, so that a text's answers do not depend on the texts beside it.
+    """
     out = []
     n = len(vectors)
     for span, weights, bias in zip(SPANS, net.filters, net.bias, strict=True):
-        got = vectors @ weights[0]
-        for k in range(1, span):
-            got[: n - k] += vectors[k:] @ weights[k]
-        got += bias
+        got = np.tile(bias, (n, 1))
+        for k in range(span):
+            for d in range(WIDTH):
+                got[: n - k] += vectors[k:, d, None] * weights[k, d]
         for k in range(1, span):
             cut = first[1:] - k
             got[cut[cut >= first[:-1]]] = -np.inf
@@ -104,7 +109,10 @@ def logits(ids: np.ndarray, first: np.ndarray, net: Network) -> np.ndarray:
     """Raw logits of the texts, not yet shifted by language."""
     answers = _respond(vectors_of(ids, net), first, net)
     pooled = np.concatenate([_pool(a, first, b) for a, b in zip(answers, net.bias, strict=True)], 1)
-    return np.maximum(pooled, 0) @ net.output + net.level
+    total = np.full(len(pooled), net.level)
+    for k, weight in enumerate(net.output.astype(np.float64)):
+        total += np.maximum(pooled[:, k], 0) * weight
+    return total
 
 
 def guess_language(ids: np.ndarray, first: np.ndarray, net: Network) -> np.ndarray:
@@ -125,7 +133,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def scores(ids: np.ndarray, first: np.ndarray, net: Network) -> np.ndarray:
     if not net.fitted:
         return np.zeros(len(first) - 1)
-    return _sigmoid(logits(ids, first, net).astype(np.float64) + net.shift[guess_language(ids, first, net)])
+    return np.round(_sigmoid(logits(ids, first, net) + net.shift[guess_language(ids, first, net)]), 9)
 
 
 def _encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
