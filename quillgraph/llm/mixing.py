@@ -12,8 +12,8 @@ comes nearer to the target. The brink is found without sorting a source: sizes a
 three digits of the digest, and only the one slice that holds the brink is put in order.
 
 Defined cases: null text has size 0; a null source is a source of its own and comes last; a source of size
-0 has target 0; repeated rows count as documents each; a null doc_id is ordered like an empty id; extra
-columns are ignored.
+0 has target 0; repeated rows count as documents each; a null doc_id is ordered like an empty id; rows with one
+id are ordered by size, then by a hash of what else they hold; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.llm import shared
 from quillgraph.llm.shared import Scratch
 
 WEIGHTS = (5, 2, 1)
@@ -66,18 +67,19 @@ def repetition_plan(sized: DataFrame, seed: str, weights: tuple[int, ...], max_e
     return plan.select(upto["source"].alias("__source"), F.col("slice").alias("__slice"), "before", "source_size", "target", "whole", "extra", kind.alias("kind"))
 
 
-def copies(docs: DataFrame, sized: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """``docs`` with source_size, target and copies added; ``sized`` holds the same rows' doc_id, source, size."""
+def copies(rows: DataFrame, sized: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """``rows`` (doc_id, source, size, others) with source_size, target and copies; ``sized`` holds the same rows' first three."""
     added = ["source_size", "target", "copies"]
     plan = repetition_plan(sized, seed, weights, max_epochs)
-    dealt = docs.join(plan, docs["source"].eqNullSafe(plan["__source"]) & (_slice(seed) == plan["__slice"]))
+    dealt = rows.join(plan, rows["source"].eqNullSafe(plan["__source"]) & (_slice(seed) == plan["__slice"]))
     sure = dealt.where("kind <> 2").withColumn("copies", F.col("whole") + F.col("kind"))
-    brink = Window.partitionBy("source").orderBy(_place(seed), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    others = [F.xxhash64(rows[c]) for c in rows.columns if c not in ("doc_id", "source", "size")]
+    brink = Window.partitionBy("source").orderBy(_place(seed), "doc_id", "size", *others).rowsBetween(Window.unboundedPreceding, 0)
     edge = dealt.where("kind = 2").withColumn("reached", F.col("before") + F.sum("size").over(brink))
     # taken if the target is not reached before it, and taking it comes at least as near as leaving it
     near = F.col("reached") - F.col("extra") <= F.col("extra") - (F.col("reached") - F.col("size"))
     edge = edge.withColumn("copies", F.col("whole") + near.cast("long"))
-    return sure.select(*docs.columns, *added).union(edge.select(*docs.columns, *added))
+    return sure.select(*rows.columns, *added).union(edge.select(*rows.columns, *added))
 
 
 def _place(seed: str) -> Column:
@@ -101,8 +103,12 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with the number of the repetition in ``epoch``."""
-    own = docs.columns
-    with_size = docs.withColumns({"source": F.col("source").cast("string"), "size": word_count(F.col("text").cast("string"))})
-    taken = copies(with_size, sizes(docs)).where("copies > 0")
-    return taken.select(*[c for c in own], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("epoch"))
+    """The rows of ``docs`` as often as the mix takes them, with the number of the repetition in ``epoch``.
+
+    Where ``docs`` has a column of that name, the added one gets an underscore at its end.
+    """
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), own)
+    taken = copies(rows, sizes(docs)).where("copies > 0")
+    epoch = shared.fresh_name(docs.columns, "epoch")
+    return taken.select(F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("epoch"), "row").select(*[F.col(f"row.`{c}`") for c in docs.columns], F.col("epoch").alias(epoch))

@@ -56,6 +56,23 @@ def test_rows_are_repeated(spark):
     assert words == mixing.mix(docs).groupBy().sum("taken").first()[0]
 
 
+def test_extra_columns_keep_names_types_and_values(spark):
+    names = ["size", "kind", "target", "copies", "epoch", "Reached", "before", "whole", "slice", "words", "row", "a.b"]
+    docs = spark.createDataFrame([(*d, *[k] * len(names)) for k, d in enumerate(DOCS)], "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    mixed = mixing.mixed(docs)
+    assert mixed.columns == [*docs.columns, "epoch_"] and mixed.drop("epoch_").schema == docs.schema
+    plain = mixing.mixed(docs.select("doc_id", "text", "source"))
+    assert sorted(map(str, mixed.select("doc_id", "text", "source").collect())) == sorted(map(str, plain.drop("epoch").collect()))
+    assert all(tuple(r[3:-1]) in {(k,) * len(names) for k in range(len(DOCS))} and DOCS[r[3]] == tuple(r[:3]) for r in mixed.collect())
+
+
+def test_very_long_text_and_rows_of_one_id_on_the_brink(spark):
+    docs = spark.createDataFrame([(1, "w " * 500_000, "a")] + [(2, f"w{k} w", "b") for k in range(9)] + [(3, "w w", "b")], "doc_id long, text string, source string")
+    assert max(r.size for r in mixing.mix(docs).collect()) == 500_000
+    once, again = (sorted(map(str, mixing.mixed(docs.repartition(n)).where("source = 'b'").collect())) for n in (1, 5))
+    assert once == again
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(none).count() == 0
