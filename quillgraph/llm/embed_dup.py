@@ -98,6 +98,12 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *digests], names=["vec_id", "d1", "d2"])
 
 
+def _check_with_vector(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for made in _check(iter([batch])):
+            yield pa.RecordBatch.from_arrays([*made.columns, batch.column(1)], names=[*made.schema.names, "embedding"])
+
+
 def _coded(bits: int, tables: int):
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,10 +236,22 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     read = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     checked = scratch.keep(read.mapInArrow(_check, "vec_id long, d1 long, d2 long"))
     usable = checked.where("vec_id is not null and d1 is not null")
-    classes = scratch.keep(usable.groupBy("d1", "d2").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")))
+    classes = usable.groupBy("d1", "d2").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
+    split = scratch.keep(usable.groupBy("vec_id").agg(F.min(F.struct("d1", "d2")).alias("p"), F.max(F.struct("d1", "d2")).alias("q")).where("p <> q").select("vec_id"))
+    repeated = not split.isEmpty()
+    if repeated:
+        # an id with several vectors cannot name a class: a hash of the vector does
+        named = classes.join(split.select(F.col("vec_id").alias("node"), F.lit(True).alias("split")), "node", "left")
+        classes = named.withColumn("node", F.when(F.col("split"), F.xxhash64("d1", "d2")).otherwise(F.col("node"))).drop("split")
+    classes = scratch.keep(classes.select("d1", "d2", "node", "copies"))
     bits, tables = table_plan(classes.count(), threshold)
-    # the vector of each class comes from the row of its smallest id
-    stood = read.join(classes, read["vec_id"] == classes["node"]).select("node", "copies", "embedding").dropDuplicates(["node"])
+    if repeated:
+        vectors_of = read.join(classes.join(usable, ["d1", "d2"]).select("vec_id").distinct(), "vec_id", "left_semi")
+        digested = vectors_of.mapInArrow(_check_with_vector, "vec_id long, d1 long, d2 long, embedding array<double>")
+        stood = digested.join(classes, ["d1", "d2"]).select("node", "copies", "embedding").dropDuplicates(["node"])
+    else:
+        # the vector of each class comes from the row of its smallest id
+        stood = read.join(classes, read["vec_id"] == classes["node"]).select("node", "copies", "embedding").dropDuplicates(["node"])
     coded = scratch.keep(stood.mapInArrow(_coded(bits, tables), "node long, copies long, embedding array<double>, keys array<long>, bits binary, factor double"))
     placed = coded.select("node", F.explode("keys").alias("key"))
     shared = placed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
@@ -244,8 +262,16 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     tiles = members.join(coded.select("node", "copies", "embedding", "bits", "factor"), "node")
     tiles = tiles.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj", "node")
     found = scratch.keep(tiles.mapInArrow(_link_tiles(bits, tables, threshold), "node long, n long, root long"))
-    roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)
+    links = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    if repeated:
+        joined = usable.join(split, "vec_id", "left_semi").join(classes, ["d1", "d2"]).select("vec_id", "node").distinct()
+        least = joined.groupBy("vec_id").agg(F.min("node").alias("a"))
+        links = links.union(joined.join(least, "vec_id").select("a", F.col("node").alias("b")).where("a <> b"))
+    roots = components(links, scratch)
     linked = found.groupBy("node").agg(F.sum("n").alias("n"))
     by_class = classes.join(linked, "node", "left").join(roots, "node", "left").select("d1", "d2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
     rows = checked.join(by_class, ["d1", "d2"], "left")
+    if repeated:
+        # hashes may be roots: the smallest id of each component takes their place
+        rows = rows.join(rows.where("vec_id is not null").groupBy("root").agg(F.min("vec_id").alias("least")), "root", "left").withColumn("root", F.col("least"))
     return rows.select("vec_id", F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("root", "vec_id")).alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

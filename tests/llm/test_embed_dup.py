@@ -74,6 +74,15 @@ def test_defined_cases(spark):
     assert embed_dup.near_vectors(extra.limit(0)).count() == 0
 
 
+def test_rows_of_an_id_with_different_vectors(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(2, 32))
+    near = lambda v: (v + rng.normal(size=32) * 0.01).tolist()
+    rows = [(1, near(a)), (7, near(a)), (7, near(b)), (9, near(b)), (12, rng.normal(size=32).tolist())]
+    got = embed_dup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (7, 1, 1), (7, 1, 1), (9, 1, 1), (12, 0, 12)]
+
+
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(9)
     x, y = rng.normal(size=(2, 300, 64))
