@@ -1,11 +1,11 @@
 """Exact token counts at every prefix of a text, by dynamic programming over its pieces.
 
 A byte-level BPE vocabulary never merges across the pieces that its split pattern makes, so the count at a
-prefix is the count at the last piece boundary before it plus the count of a piece's own prefix. The running
-sum over the pieces of a text (``ends`` and ``counts``) is stored; the counts of all byte prefixes of a piece are
-worked out for the piece where a budget falls. They follow ``count[k] = count[k - len(t)] + 1`` where t is the
-last token of the prefix of k bytes: the longest vocabulary entry that ends there and that the library keeps
-beside the last token before it.
+prefix is the count at the last piece boundary before it plus the count of a piece's own prefix. The counts of all
+byte prefixes of every piece follow ``count[k] = count[k - len(t)] + 1`` where t is the last token of the prefix
+of k bytes: the longest vocabulary entry that ends there and that the library keeps beside the last token before
+it. A text's total, its stored running sum over pieces (``ends`` and ``counts``) and the answers to budgets all
+come from these tables; a worker remembers those of pieces it has met.
 
 Texts that a plain reading of the pattern does not cover (characters beyond the Latin blocks, where Unicode
 versions could differ, or a special token's string inside, which is a piece of its own) are cut by the library's
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
 from itertools import accumulate
 
@@ -28,9 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT = 1024
-#: Distinct pieces that one worker remembers; beyond it the memory starts afresh.
-REMEMBERED = 400_000
-LONG_PIECE = 2000
+#: Distinct pieces that one worker remembers, none of over LONG_PIECE characters; beyond it the memory starts afresh.
+REMEMBERED, LONG_PIECE = 400_000, 2000
 #: What the pattern takes for white space.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 # texts of these characters are split here; all others by the library
@@ -50,9 +49,10 @@ class PrefixCounter:
         self.model = self.tokenizer.model
         self.pieces = regex.compile(_PIECES).findall
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
-        self.known: dict[str, int] = {}
-        self.vocabulary: dict[str, int] = {}
-        self.longest = 0
+        self.known: dict[str, Sequence[int]] = {}
+        self.apart: dict[tuple[str, str], bool] = {}
+        self.vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.longest = max(map(len, self.vocabulary))
 
     def whole(self, texts: list[str]) -> list[int]:
         """Counts by the library itself."""
@@ -61,16 +61,19 @@ class PrefixCounter:
     def is_plain(self, text: str) -> bool:
         return _PLAIN.fullmatch(text) is not None and not any(s in text for s in self.specials)
 
-    def piece_counts(self, pieces: list[str]) -> list[int]:
-        known = self.known
-        try:
-            return [known[p] for p in pieces]
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            missing = [p for p in dict.fromkeys(pieces) if p not in known]
-            known.update(zip(missing, self.whole(missing), strict=True))
-            return [known[p] for p in pieces]
+    def counts(self, piece: str) -> Sequence[int]:
+        """Tokens of every prefix of a piece, by its number of bytes; remembered."""
+        got = self.known.get(piece)
+        if got is None:
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            made = self.inner(piece)
+            if piece in self.specials:
+                made[-1] = 1
+            got = bytes(made) if made[-1] < 256 and max(made) < 256 else made
+            if len(piece) <= LONG_PIECE:
+                self.known[piece] = got
+        return got
 
     def split(self, text: str) -> list[str]:
         """The pieces of any text, end to end."""
@@ -84,18 +87,15 @@ class PrefixCounter:
 
     def prefixes(self, text: str) -> tuple[list[int], list[int]]:
         """(end of each piece in characters, tokens up to it), both starting at 0."""
-        pieces = self.split(text)
-        counted = self.piece_counts(pieces) if max(map(len, pieces), default=0) <= LONG_PIECE else self.whole(pieces)
-        return list(accumulate(map(len, pieces), initial=0)), list(accumulate(counted, initial=0))
+        pieces, known = self.split(text), self.known
+        totals = [known[p][-1] if p in known else self.counts(p)[-1] for p in pieces]
+        return list(accumulate(map(len, pieces), initial=0)), list(accumulate(totals, initial=0))
 
     def inner(self, piece: str, budget: int | None = None) -> list[int]:
         """Tokens of every prefix of one piece, by its number of bytes from 0 on.
 
         With ``budget`` the list ends where no longer prefix can have so few tokens.
         """
-        if not self.longest:
-            self.vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-            self.longest = max(map(len, self.vocabulary))
         alphabet, vocabulary, longest = _byte_alphabet(), self.vocabulary, self.longest
         data = "".join(alphabet[b] for b in piece.encode())
         count, last, over = [0], [""], 0
@@ -113,7 +113,13 @@ class PrefixCounter:
         return count
 
     def _stay_apart(self, left: str, right: str) -> bool:
-        return [t.value for t in self.model.tokenize(left + right)] == [left, right]
+        pair = (left, right)
+        got = self.apart.get(pair)
+        if got is None:
+            if len(self.apart) > REMEMBERED:
+                self.apart.clear()
+            got = self.apart[pair] = [t.value for t in self.model.tokenize(left + right)] == [left, right]
+        return got
 
     def _inside(self, block: str, budget: int) -> int:
         """Characters of the longest prefix of one piece with at most ``budget`` tokens."""
