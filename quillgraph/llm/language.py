@@ -8,8 +8,8 @@ A text's language is the one with the largest sum of posteriors; its score is th
 Training is conditional likelihood by Adam on sequences of SEQUENCE words, put together from stretches of
 documents of changing language, which is what the transitions learn from. The model is fitted on a bounded
 sample: about ``per_language`` documents of each of the ``max_languages`` commonest values of lang, picked by
-a hash of the id among rows that may be learnt from, whole texts, none over ``max_chars``. Nothing else is
-sampled: every whole text is labelled.
+a hash of the id among rows that may be learnt from, whole texts, none over ``max_chars``, MAX_BYTES a language.
+One task fits it. Nothing else is sampled: every whole text is labelled.
 
 Forward-backward over a batch of texts runs on blocks of BLOCK words: transfer matrices of all blocks at once,
 then one short walk over each text's blocks, then all blocks again from their boundary vectors.
@@ -33,6 +33,8 @@ from pyspark.sql import types as T
 from quillgraph.llm import shared
 
 PER_LANGUAGE, MAX_LANGUAGES, MAX_CHARS = 220, 64, 100_000
+#: Bytes of text of one language in the sample; a text that no longer fits is left out whole.
+MAX_BYTES = 8 << 20
 BUCKET_BITS = 17
 SEQUENCE = 64
 BLOCK = 32
@@ -96,6 +98,17 @@ def read_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(first, begin, trigrams, np.stack([_bucket(prefix, 2), _bucket(suffix, 3), _bucket(lexicon, 4)], 1))
 
 
+def _read_groups(encoded: list[bytes], offsets: np.ndarray) -> Words:
+    """``read_words`` of all texts, in groups that bound its memory."""
+    found = [Words(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros((0, 3), np.uint32))]
+    words, letters = 0, 0
+    for a, b in shared.row_groups(offsets, GROUP_BYTES):
+        part = read_words(np.frombuffer(b"".join(encoded[a:b]), np.uint8), offsets[a : b + 1] - offsets[a])
+        found.append(Words(part.first[1:] + words, part.begin + letters, part.trigrams, part.affixes))
+        words, letters = words + len(part.begin), letters + len(part.trigrams)
+    return Words(*(np.concatenate([getattr(p, name) for p in found]) for name in ("first", "begin", "trigrams", "affixes")))
+
+
 def emissions(words: Words, weights: np.ndarray) -> np.ndarray:
     if not len(words.begin):
         return np.zeros((0, weights.shape[1]), np.float32)
@@ -186,7 +199,7 @@ def fit(texts: list[str], labels: list[str], seed: int = 5, epochs: int = 4, bat
     rng = np.random.default_rng(seed)
     encoded = [t.encode() for t in texts]
     offsets = np.concatenate(([0], np.cumsum([len(e) for e in encoded]))).astype(np.int64)
-    words = read_words(np.frombuffer(b"".join(encoded), np.uint8), offsets)
+    words = _read_groups(encoded, offsets)
     n = len(words.begin)
     if L < 2 or not n:
         return Model(languages, weights, moves.astype(np.float32))
@@ -261,13 +274,21 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, max_languages: int
     share = F.lit(0)
     for r in counts:
         share = F.when(F.col("lang") == r["lang"], min(1_000_000, int(1_000_000 * 1.2 * per_language / r["count"]) + 1)).otherwise(share)
-    rows = known.where(draw < share).select(draw.alias("d"), F.col("doc_id").cast("string").alias("i"), "lang", "text").limit(3 * per_language * len(counts)).collect()
-    rows.sort(key=lambda r: (r.lang, r.d, r.i or "", r.text))
-    taken: dict[str, list] = {}
-    for r in rows:
-        taken.setdefault(r.lang, []).append(r.text)
-    pairs = [(t, lang) for lang, texts in taken.items() for t in texts[:per_language]]
-    return fit([t for t, _ in pairs], [x for _, x in pairs])
+    columns = [draw.alias("d"), F.col("doc_id").cast("string").alias("i"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")]
+    sample = known.where(draw < share).select(*columns).limit(3 * per_language * len(counts))
+
+    def taken(rows: list[dict]) -> Model:
+        rows.sort(key=lambda r: (r["lang"], r["d"], r["i"] or "", r["text"]))
+        held: dict[str, list[str]] = {}
+        room: dict[str, int] = {}
+        for r in rows:
+            size = len(r["text"].encode())
+            if len(held.setdefault(r["lang"], [])) < per_language and size <= room.setdefault(r["lang"], MAX_BYTES):
+                held[r["lang"]].append(r["text"])
+                room[r["lang"]] -= size
+        return fit([t for texts in held.values() for t in texts], [lang for lang, texts in held.items() for _ in texts])
+
+    return shared.fit_once(sample, taken)
 
 
 def has_letter(text: str | None) -> bool:
@@ -300,30 +321,31 @@ def predict_arrays(column: pa.Array, model: Model) -> tuple[list[str], np.ndarra
     return names, np.concatenate(scores) if scores else np.zeros(0)
 
 
-def detect(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs``, all columns, with lang_pred and score; a column of either name in ``docs`` gives way."""
-    fields = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
-    kept = docs.select(*[F.col(f"`{f.name}`") for f in fields])
-    at = [f.name for f in fields].index("text")
-    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+def detect(docs: DataFrame, model: Model, predicted: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs``, all columns, with a language and its score in columns of the names given, which ``docs`` must not have."""
+    names = docs.columns
+    at = names.index("text")
+    # columns go by place through Arrow, whatever their names
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))]).withColumn(f"c{at}", F.col(f"c{at}").cast("string"))
+    schema = T.StructType([*plain.schema.fields, T.StructField("predicted", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = predict_arrays(batch.column(at), model)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            found, scores = predict_arrays(batch.column(at), model)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "predicted", "score"])
 
-    return kept.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*names, predicted, score)
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of ``docs`` (doc_id, text, lang)."""
     model = train(docs)
-    read = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    found = detect(read, model)
+    found = detect(docs.select("doc_id", "text"), model)
     return found.select("doc_id", (~shared.training_row("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """The rows of ``docs``, all columns, in an identified language with at least the score ``least``."""
-    found = detect(docs, train(docs))
-    return found.where(F.col("lang_pred").isNotNull() & (F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    predicted, score = (shared.fresh_name(docs.columns, name) for name in ("lang_pred", "score"))
+    found = detect(docs, train(docs), predicted, score)
+    return found.where((F.col(predicted) != "und") & (F.col(score) >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])

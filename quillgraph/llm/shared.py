@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +86,16 @@ class Scratch:
                 self.paths.remove(name)
 
 
+def fit_once(sample: DataFrame, fit: Callable[[list[dict]], object]) -> object:
+    """What ``fit`` makes of the rows of a bounded sample, in one task, so that the driver holds the result alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in batches for row in batch.to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], names=["made"])
+
+    return pickle.loads(sample.repartition(1).mapInArrow(run, "made binary").first()["made"])
+
+
 def fresh_name(taken: list[str], wanted: str) -> str:
     """A column name that ``taken`` has not, whatever extra columns the input carries."""
     low = {c.lower() for c in taken}

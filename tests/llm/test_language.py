@@ -26,6 +26,19 @@ def test_defined_cases(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()}.isdisjoint({4, 5, 6, 7})
 
 
+def test_extra_columns_keep_names_types_and_values(spark):
+    rows = [(k, "the and of the" if k % 2 else "der und die", "aa" if k % 2 else "bb", k, str(k), float(k), k * 2) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, Score int, lang_pred string, `a.b` double, held_out long")
+    kept = lg.keep_identified(docs)
+    assert kept.schema == docs.schema and sorted(map(tuple, kept.collect())) == rows
+
+
+def test_very_long_text_and_repeated_rows(spark):
+    model = lg.fit(["the and of the "] * 8 + ["der und die "] * 8, ["aa"] * 8 + ["bb"] * 8)
+    docs = spark.createDataFrame([(1, "der und die " * 250_000), (2, "the and"), (2, "the and")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.lang_pred) for r in lg.detect(docs, model).collect()) == [(1, "bb"), (2, "aa"), (2, "aa")]
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in lg.identify(docs).collect()] == ["und"]
