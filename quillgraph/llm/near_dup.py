@@ -7,7 +7,7 @@ only (a star), so a bucket of m documents costs m - 1 pairs. Each pair is confir
 sets. Where a star leaves a bucket's members in several components, further stars settle it: around its least
 edited member (buckets with such members in one component are settled as one group), then in the smaller groups of
 members that share a shingle which this hub has not (see ``_around_hubs``), until every group is in one component or small enough for a tile of TILE members that
-one task compares. No link inside a bucket is lost, and no round makes more than one pair a member.
+one task compares. No link inside a bucket is lost, and no round makes more than HUBS pairs a member.
 
 Documents with equal sets are one class from the start (grouped by a 128-bit digest of the set), so copies
 never meet in a bucket, whatever their number.
@@ -36,6 +36,8 @@ PERCENT = 75
 BANDS, ROWS = 32, 4
 #: Groups of at most so many members, and shingles in all, are settled in one task.
 TILE, TILE_SHINGLES = 64, 1 << 20
+#: Members of a larger group whose sets together stand for what its members have in common.
+HUBS = 4
 
 _MIX = np.random.default_rng(71).integers(1, 2**63, WORDS + ROWS + BANDS + 8, dtype=np.uint64) | np.uint64(1)
 _SHORT_SALT = np.arange(WORDS, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -194,14 +196,6 @@ def _tile_links(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
 
-def _meet(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, i, extra: how many shingles of b the hub a has, and those it has not."""
-    with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = with_b.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-    apart = both.select("a", "b", F.size("sb").alias("n"), F.array_except("sb", "sa").alias("extra"))
-    return apart.select("a", "b", (F.col("n") - F.size("extra")).cast("long").alias("i"), "extra")
-
-
 def _merged(rows: DataFrame, found: list[DataFrame], scratch: Scratch, names: tuple[str, ...]) -> DataFrame:
     """``rows`` with a ``part`` from each home column, after the links between homes found so far."""
     if not found or all(f.isEmpty() for f in found):
@@ -216,34 +210,44 @@ def _merged(rows: DataFrame, found: list[DataFrame], scratch: Scratch, names: tu
 def _around_hubs(members: DataFrame, sets: DataFrame, found: list[DataFrame], scratch: Scratch) -> DataFrame:
     """One round of stars around the least edited member of each group: adds its links to ``found``, returns smaller groups.
 
-    Let c be the hub and x a member outside its component. At most |x & c| shingles that x shares with a member
-    lie in c, so it must share at least q = ceil(0.75 / 1.75 * (|x| + least)) - |x & c| shingles outside c, where
-    least is the smallest size in the group. So pairs across components meet again in the groups of one shingle
-    outside c, of which each member enters all but its q - 1 commonest. Where q < 1, the only other partners are
-    smaller than c (or x would be linked to c): x and the smaller members form one more group. The hub is in none
-    of the new groups, so the rounds end; each costs one pair a member, whatever the size of the group.
+    Let B be the union of the sets of HUBS little edited members, which all others are paired with, and x a member
+    outside the component of the first of them. x must share 0.75 / 1.75 * (|x| + |y|) shingles with a partner y. If they share none outside B, all are in
+    x & B and in y & B, so |y| <= reach(x) = |x & B| * 1.75 / 0.75 - |x| and |x| <= reach(y), and one of the two
+    reaches its own size: such x, and the members small and near enough for one of them, form one new group, if any
+    in it has that reach; these come first when its hubs are chosen. All other pairs meet
+    in the groups of one shingle outside B, of which a member enters all but its q - 1 commonest ones, where
+    q = ceil(0.75 / 1.75 * (|x| + least)) - |x & B| counts what it must share there and least is the smallest
+    size in the group. Only shingles that an x asks for make a group, and none holds one of the HUBS members, so
+    the rounds end; each costs HUBS pairs a member, whatever the size of the group.
     """
-    hubs = members.groupBy("key").agg(F.min(F.struct("u", "node", "n", "home", "part")).alias("c"), F.min("n").alias("least"))
-    hubs = hubs.select("key", F.col("c.node").alias("a"), F.col("c.n").alias("cn"), F.col("c.home").alias("chome"), F.col("c.part").alias("cpart"), "least")
-    rows = scratch.keep(members.drop("tile").join(hubs, "key").where("node <> a"))
-    met = scratch.keep(_meet(rows.select("a", F.col("node").alias("b")).distinct(), sets))
-    rows = rows.join(met.withColumnRenamed("b", "node"), ["a", "node"])
-    near = F.col("i") * (100 + PERCENT) >= (F.col("n") + F.col("cn")) * PERCENT
-    found.append(scratch.keep(rows.where((F.col("part") != F.col("cpart")) & near).select(F.col("home").alias("a"), F.col("chome").alias("b")).distinct()))
+    facts = F.struct("turn", "u", "node", "n", "home", "part")
+    picked = scratch.keep(members.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("h")).agg(F.min(facts).alias("c"), F.min("n").alias("least")))
+    hubs = picked.groupBy("key").agg(F.min("c").alias("c"), F.min("least").alias("least")).select("key", F.col("c.node").alias("a"), F.col("c.home").alias("chome"), F.col("c.part").alias("cpart"), "least")
+    chosen = picked.select("key", F.col("c.node").alias("a"), F.col("c.home").alias("ahome"), F.col("c.part").alias("apart"))
+    base = chosen.withColumnRenamed("a", "node").join(sets, "node").groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("base"))
+    rows = scratch.keep(members.drop("tile").join(hubs.drop("a"), "key").join(chosen.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti"))
+    star = members.join(chosen, "key").where(F.col("part") != F.col("apart")).select("a", F.col("node").alias("b"), "home", "ahome").distinct()
+    links = _confirm(star.select("a", "b").distinct(), sets).join(star, ["a", "b"])
+    found.append(scratch.keep(links.select(F.col("home").alias("a"), F.col("ahome").alias("b")).distinct()))
     rows = _merged(rows, found, scratch, ("", "c")).withColumn("lone", F.col("part") != F.col("cpart"))
-    rows = rows.withColumn("q", F.expr(f"((n + least) * {PERCENT} + {99 + PERCENT}) div {100 + PERCENT} - i"))
-    rows = scratch.keep(rows.join(rows.where("lone").select("key").distinct(), "key", "left_semi"))
+    rows = rows.join(rows.where("lone").select("key").distinct(), "key", "left_semi").join(sets, "node").join(base, "key")
+    rows = rows.withColumn("extra", F.array_except("shingles", "base")).withColumn("i", F.col("n") - F.size("extra")).drop("shingles", "base")
+    rows = rows.withColumn("q", F.expr(f"((n + least) * {PERCENT} + {99 + PERCENT}) div {100 + PERCENT} - i")).withColumn("reach", F.expr(f"(i * {100 + PERCENT}) div {PERCENT} - n"))
+    rows = scratch.keep(rows)
     own = ["node", "home", "part", "n", "u"]
-    shared_out = rows.select("key", *own, "lone", F.greatest("q", F.lit(1)).alias("q"), F.explode("extra").alias("s"))
-    common = shared_out.groupBy("key", "s").agg(F.count("*").alias("f")).where("f > 1")
-    listed = shared_out.join(common, ["key", "s"]).groupBy("key", *own, "lone", "q").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("list"))
+    outside = rows.select("key", *own, "lone", F.greatest("q", F.lit(1)).alias("q"), F.explode("extra").alias("s"))
+    common = outside.groupBy("key", "s").agg(F.count("*").alias("f")).where("f > 1")
+    listed = outside.join(common, ["key", "s"]).groupBy("key", *own, "lone", "q").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("list"))
     fit = F.greatest(F.size("list") - F.col("q") + 1, F.lit(0)).cast("int")
     taken = listed.select("key", *own, "lone", F.explode(F.slice("list", F.lit(1), fit)).alias("x")).select("key", *own, "lone", "x.s")
     asked = taken.where("lone").select("key", "s").distinct()
-    outside = taken.join(asked, ["key", "s"], "left_semi").select(F.xxhash64("key", "s").alias("key"), *own)
-    unsure = F.col("lone") & (F.col("q") < 1)
-    smaller = rows.where(unsure | (F.col("n") < F.col("cn"))).join(rows.where(unsure).select("key").distinct(), "key", "left_semi").select(F.xxhash64("key", F.lit("smaller")).alias("key"), *own)
-    return outside.union(smaller)
+    sharing = taken.join(asked, ["key", "s"], "left_semi").select(F.xxhash64("key", "s").alias("key"), *own, F.lit(0).alias("turn"))
+    high = F.col("reach") >= F.col("n")
+    central = F.col("lone") & (F.col("reach") >= F.col("least"))
+    bounds = rows.where(central).groupBy("key").agg(F.max("reach").alias("most"), F.min("n").alias("low"))
+    inside = rows.join(bounds, "key").where(central | ((F.col("n") <= F.col("most")) & (F.col("reach") >= F.col("low")))).withColumn("turn", F.when(high, 0).otherwise(1))
+    inside = inside.join(inside.where("turn = 0").select("key").distinct(), "key", "left_semi")
+    return sharing.union(inside.select(F.xxhash64("key", F.lit("inside")).alias("key"), *own, "turn"))
 
 
 def _settle(stars: DataFrame, roots: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame | None:
@@ -259,7 +263,7 @@ def _settle(stars: DataFrame, roots: DataFrame, sets: DataFrame, scratch: Scratc
     buckets = scratch.keep(_open(left.join(facts, "node").withColumn("part", F.col("home"))).drop("tile"))
     # a component's members meet in many buckets: those whose least edited member is of one component become one group
     middle = buckets.groupBy("key").agg(F.min(F.struct("u", "node", "part")).alias("c")).select("key", F.col("c.part").alias("whole"))
-    members = buckets.join(middle, "key").select(F.col("whole").alias("key"), "node", "home", "part", "n", "u").distinct()
+    members = buckets.join(middle, "key").select(F.col("whole").alias("key"), "node", "home", "part", "n", "u", F.lit(0).alias("turn")).distinct()
     members = scratch.keep(_open(members))
     found: list[DataFrame] = []
     while True:
