@@ -76,10 +76,9 @@ scores AS (
            round_even(oka::DOUBLE / nullif(matched_required + matched_optional + matched_runtime_only, 0), 6) AS evidence_accuracy_all
     FROM range(50) c(case_id) LEFT JOIN req USING (case_id) LEFT JOIN sums USING (case_id))"""
 KEYWORD = TERMS + "," + ASKED + """,
-q8 AS (SELECT item_id, term FROM (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, pos) AS r FROM qt) WHERE r <= 8),
 kw AS (
     SELECT q.item_id, d.doc_id, sum(CASE WHEN t.term IS NOT NULL THEN 1.0 ELSE 0.0 END + CASE WHEN contains(lower(d.text), q.term) THEN 0.25 ELSE 0.0 END)::DOUBLE AS keyword
-    FROM q8 q CROSS JOIN documents d LEFT JOIN terms t ON t.doc_id = d.doc_id AND t.term = q.term GROUP BY 1, 2)"""
+    FROM asked q CROSS JOIN documents d LEFT JOIN terms t ON t.doc_id = d.doc_id AND t.term = q.term GROUP BY 1, 2)"""
 RESPONSES = """
 base AS (SELECT event_id, user_id, event_type, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k FROM events)"""
 MASK = r"""
@@ -98,7 +97,7 @@ ORACLES: dict[str, str] = {
     "line_chunks": f"WITH {CHUNKS} SELECT doc_id, start_line, end_line, line_count, length(text) AS char_count FROM chunks",
     "chunk_hash_ids": f"WITH {CHUNKS}, h AS (SELECT *, sha256(lang || chr(10) || 'c0' || chr(10) || doc_id || chr(10) || start_line || chr(10) || end_line || chr(10) || text) AS chunk_sha256 FROM chunks) SELECT doc_id, lang || ':' || doc_id || ':' || start_line || '-' || end_line || ':' || substr(chunk_sha256, 1, 12) AS chunk_id, chunk_sha256 FROM h",
     "index_limits": "WITH p AS (SELECT source, printf('%s/%08d.txt', source, doc_id) AS path FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY path) AS n FROM p) SELECT source, count(*) AS files, max(path) AS last FROM r WHERE n <= 20 GROUP BY 1",
-    "normalised_text": r"SELECT doc_id, regexp_replace(trim(regexp_replace(substr(text, 1, 300), '\s+', ' ', 'g')), ' +', ' ', 'g') AS evidence, coalesce(nullif(regexp_replace(regexp_replace(lower(trim(substr(text, 1, 40))), '[^a-z0-9_.\-]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'run') AS slug, greatest(1, ceil(length(text) / 4.0))::INT AS pack_tokens, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, floor((length(text) + 3) / 4.0)) END::INT AS tool_tokens FROM documents",
+    "normalised_text": r"SELECT doc_id, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), ' +', ' ', 'g') AS evidence, coalesce(nullif(regexp_replace(regexp_replace(lower(trim(text)), '[^a-z0-9_.\-]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'run') AS slug, greatest(1, ceil(length(text) / 4.0))::INT AS pack_tokens, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, floor((length(text) + 3) / 4.0)) END::INT AS tool_tokens FROM documents",
     "path_predicates": r"WITH p AS (SELECT page_id, url, regexp_extract(url, '://(.*)$', 1) AS p FROM pages), q AS (SELECT *, list_filter(string_split(lower(p), '/'), lambda x: x <> '') AS parts FROM p) SELECT page_id, list_has_any(parts, ['tests', 'test']) OR starts_with(coalesce(parts[-1], ''), 'test_') OR ends_with(coalesce(parts[-1], ''), '_test.py') OR contains(coalesce(parts[-1], ''), '.test.') OR contains(coalesce(parts[-1], ''), '.spec.') AS is_test, list_has_any(parts, ['.venv', 'venv', 'env', 'site-packages', 'dist-packages', 'node_modules', '__pypackages__']) AS is_external, url = '' AS url_relative, NOT regexp_matches(p, '^[a-zA-Z][a-zA-Z0-9+.\-]*://') AND NOT contains(p, '<') AND NOT contains(p, '/../') AND NOT starts_with(p, '../') AND NOT regexp_matches(p, '^([A-Za-z]:)?/|^[A-Za-z]:') AS path_relative FROM q",
     "safe_ratios": "WITH g AS (SELECT l_orderkey % 1000 AS g, count(*) FILTER (l_returnflag = 'R') AS r, count(*) FILTER (l_linestatus = 'X') AS x, count(*) AS n FROM lineitem GROUP BY 1) SELECT g, round_even(r::DOUBLE / n, 6) AS ratio, round_even(n::DOUBLE / nullif(x, 0), 6) AS none, round_even((n - r)::DOUBLE, 6) AS delta FROM g",
     "bm25_topk": f"WITH {RANKED.format(k=10)} SELECT item_id, doc_id, rank, score FROM ranked",
@@ -111,8 +110,8 @@ ORACLES: dict[str, str] = {
         SELECT item_id, lang, doc_id, rank, score FROM (SELECT item_id, lang, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id, lang ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm WHERE round(score, 6) > 0) WHERE rank <= 3""",
     "keyword_topk": f"WITH {KEYWORD} SELECT item_id, doc_id, rank, score FROM (SELECT item_id, doc_id, keyword AS score, row_number() OVER (PARTITION BY item_id ORDER BY keyword DESC, doc_id) AS rank FROM kw WHERE keyword > 0) WHERE rank <= 10",
     "hybrid_topk": "WITH " + BM25 + KEYWORD[len(TERMS) + 1 + len(ASKED):] + ", both_scores AS (SELECT kw.item_id, kw.doc_id, round(coalesce(score, 0) + 0.25 * keyword, 6) AS score FROM kw LEFT JOIN bm USING (item_id, doc_id)) SELECT item_id, doc_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM both_scores WHERE score > 0) WHERE rank <= 10",
-    "dense_topk": "WITH s AS (SELECT q.vec_id AS q_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id) SELECT q_id, vec_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE score > 0) WHERE rank <= 5",
-    "dense_label_recall": "WITH s AS (SELECT q.vec_id AS q_id, q.label AS want, v.vec_id, v.label, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id) SELECT q_id, round_even((count(*) FILTER (label = want))::DOUBLE / count(*), 6) AS precision FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10 GROUP BY 1",
+    "dense_topk": "WITH s AS (SELECT q.vec_id AS q_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id) SELECT q_id, vec_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE score > 0) WHERE rank <= 5",
+    "dense_label_recall": "WITH s AS (SELECT q.vec_id AS q_id, q.label AS want, v.vec_id, v.label, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id) SELECT q_id, round_even((count(*) FILTER (label = want))::DOUBLE / count(*), 6) AS precision FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10 GROUP BY 1",
     "multiquery_merge": f"""WITH {BM25},
         qr AS (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, pos) AS r FROM qt),
         subs AS (SELECT item_id, 0 AS ord, 'eight' AS label, term FROM qr WHERE r <= 8 UNION ALL SELECT item_id, 1, 'three', term FROM qr WHERE r <= 3
@@ -140,7 +139,7 @@ ORACLES: dict[str, str] = {
     "host_fanout": f"WITH {LINKS} SELECT host, count(*) AS links, count(DISTINCT href) AS targets, count(DISTINCT page_id) AS pages FROM links GROUP BY 1",
     "same_host_semi": f"WITH {LINKS}, rooted AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/]+/([^/?#]*)', 1) AS section FROM pages) SELECT page_id, count(*) AS links FROM links l WHERE EXISTS (SELECT 1 FROM rooted r WHERE r.host = l.host AND r.section = regexp_extract(l.href, '^/?([^/?#]*)', 1)) GROUP BY 1",
     "dangling_links_anti": f"WITH {LINKS}, l AS (SELECT DISTINCT regexp_extract(href, '^/?([^/?#]*)', 1) AS section FROM links), r AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/]+/([^/?#]*)', 1) AS section FROM pages) SELECT state, count(*) AS n FROM (SELECT 'missing' AS state FROM l ANTI JOIN r USING (section) UNION ALL SELECT 'extra' FROM r ANTI JOIN l USING (section)) GROUP BY 1",
-    "two_hop_reach": "WITH e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_suppkey % 10 = 0 UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_suppkey % 10 = 1), h0 AS (SELECT 's' || s_suppkey AS start, 's' || s_suppkey AS node FROM supplier WHERE s_suppkey % 10 = 0), h1 AS (SELECT DISTINCT start, b AS node FROM h0 JOIN e ON e.a = node), h2 AS (SELECT DISTINCT start, b AS node FROM h1 JOIN e ON e.a = node), every AS (SELECT start, node, 0 AS depth FROM h0 UNION ALL SELECT start, node, 1 FROM h1 UNION ALL SELECT start, node, 2 FROM h2), best AS (SELECT start, node, min(depth) AS depth FROM every GROUP BY 1, 2) SELECT start, depth, count(*) AS n FROM best GROUP BY 1, 2",
+    "two_hop_reach": "WITH e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem), h0 AS (SELECT 's' || s_suppkey AS start, 's' || s_suppkey AS node FROM supplier), h1 AS (SELECT DISTINCT start, b AS node FROM h0 JOIN e ON e.a = node), h2 AS (SELECT DISTINCT start, b AS node FROM h1 JOIN e ON e.a = node), every AS (SELECT start, node, 0 AS depth FROM h0 UNION ALL SELECT start, node, 1 FROM h1 UNION ALL SELECT start, node, 2 FROM h2), best AS (SELECT start, node, min(depth) AS depth FROM every GROUP BY 1, 2) SELECT start, depth, count(*) AS n FROM best GROUP BY 1, 2",
     "edge_score_case": f"WITH {GOLD_SQL}, {PLAIN} {CASE_SCORES} SELECT * EXCLUDE (accepted) FROM scores",
     "edge_score_ctor": f"WITH {GOLD_SQL}, {CTOR} {CASE_SCORES} SELECT * EXCLUDE (accepted) FROM scores",
     "edge_score_total": f"WITH {GOLD_SQL}, {PLAIN} {CASE_SCORES} SELECT count(*) AS case_count, sum(required_edges)::BIGINT AS required_edges, sum(predicted_edges)::BIGINT AS predicted_edges, sum(matched_required)::BIGINT AS matched_required, sum(accepted)::BIGINT AS accepted_predictions, round_even(sum(accepted)::DOUBLE / nullif(sum(predicted_edges), 0), 6) AS edge_precision, round_even(sum(matched_required)::DOUBLE / nullif(sum(required_edges), 0), 6) AS edge_recall, round_even(sum(round_even(evidence_accuracy * matched_required, 0)) / nullif(sum(matched_required), 0), 6) AS evidence_accuracy FROM scores",
