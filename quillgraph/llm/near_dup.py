@@ -35,7 +35,7 @@ PERCENT = 75
 #: 32 bands of 4 bins: a pair at similarity 0.75 is missed with probability (1 - 0.75**4)**32 = 5e-6.
 BANDS, ROWS = 32, 4
 #: Groups of at most so many members, and shingles in all, are settled in one task.
-TILE, TILE_SHINGLES = 64, 1 << 20
+TILE, TILE_SHINGLES = 256, 1 << 20
 #: Members of a larger group whose sets together stand for what its members have in common.
 HUBS = 4
 
