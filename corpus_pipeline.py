@@ -45,7 +45,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Stage]] = [("language", language), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("pii", pii), ("mix", mix)]
 
-#: The language model and SHA-256 pseudonyms are beyond SQL; tests hold run() against brute force.
+#: The language model and SHA-256 pseudonyms are beyond SQL; a brute-force test of run() as a whole is still to be written.
 ORACLE_SQL = None
 
 
