@@ -114,11 +114,17 @@ def markdown_cell(value: Column | str) -> Column:
 
 
 def as_int(value: Column | str, default: int) -> Column:
-    return F.coalesce(F.try_to_number(F.regexp_extract(_c(value).cast("string"), r"^\s*([+\-]?\d{1,9})\s*$", 1), F.lit("S999999999")).cast("int"), F.lit(default))
+    """The whole number that the text is, white space around it aside; ``default`` for all else and beyond the range of int."""
+    return F.coalesce(F.nullif(F.regexp_extract(_c(value).cast("string"), r"^\s*([+\-]?\d+)\s*$", 1), F.lit("")).try_cast("int"), F.lit(default))
+
+
+def stripped(value: Column | str) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(_c(value), r"^\s+|\s+$", "")
 
 
 def truthy(value: Column | str) -> Column:
-    return F.coalesce(F.lower(F.trim(_c(value).cast("string"))).isin("1", "true", "yes", "y"), F.lit(False))
+    return F.coalesce(F.lower(stripped(_c(value).cast("string"))).isin("1", "true", "yes", "y"), F.lit(False))
 
 
 def without_comment(line: Column | str) -> Column:

@@ -23,9 +23,9 @@ def recall_at_k(evidence: DataFrame, results: DataFrame, ks: tuple[int, ...] = (
     A line counts as found where any result of its file within k covers it.
     """
     ranks = first_ranks(results)
-    edges = evidence.withColumn("edge", F.monotonically_increasing_id())
-    covered = edges.join(results, ["case_id", "file"]).where(line_covered(F.col("line"), F.col("start_line"), F.col("end_line"))).groupBy("edge").agg(F.min("rank").alias("line_rank"))
-    held = edges.join(ranks, ["case_id", "file"], "left").join(covered, "edge", "left")
+    place = ["case_id", "file", "line"]
+    covered = evidence.select(*place).distinct().join(results, place[:2]).where(line_covered(F.col("line"), F.col("start_line"), F.col("end_line"))).groupBy(*place).agg(F.min("rank").alias("line_rank"))
+    held = evidence.join(ranks, place[:2], "left").join(covered, place, "left")
     spread = held.withColumn("k", F.explode(F.array(*map(F.lit, ks))))
     found, on_line = F.coalesce(F.col("first_rank") <= F.col("k"), F.lit(False)), F.coalesce(F.col("line_rank") <= F.col("k"), F.lit(False))
     return spread.groupBy("case_id", "k").agg(

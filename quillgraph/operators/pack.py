@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions.text import _c, boundary_role, call_expressions, call_receiver, call_tail, callback_arguments, markdown_cell
+from quillgraph.functions.text import SKIPPED_CALLS, _c, boundary_role, call_expressions, call_receiver, call_tail, callback_arguments, markdown_cell, stripped
 
 # fixed values of candidate classification
 LOGGER_METHODS = ("debug", "info", "warning", "warn", "error", "exception", "critical", "log")
@@ -55,7 +55,7 @@ def markdown_rows(frame: DataFrame, by: list[str], order: list[str], columns: li
 
 
 def is_definition_line(line: Column) -> Column:
-    s = F.trim(line)
+    s = stripped(line)
     return s.startswith("def ") | s.startswith("async def ") | s.startswith("class ")
 
 
@@ -133,7 +133,7 @@ def call_candidates(lines: DataFrame, keys: list[str]) -> DataFrame:
 
     One row for each file, line, caller and expression. ``lines`` has keys, file, line, text, caller.
     """
-    spread = lines.select(*keys, "file", "line", "caller", F.trim("text").alias("evidence"), F.explode(call_expressions("text")).alias("expression"))
+    spread = lines.select(*keys, "file", "line", "caller", stripped("text").alias("evidence"), F.explode(call_expressions("text")).alias("expression"))
     named = spread.where(~is_definition_line(F.col("evidence"))).withColumn("role", boundary_role("expression", "evidence")).withColumn("callback_arguments", callback_arguments("evidence"))
     return named.dropDuplicates([*keys, "file", "line", "caller", "expression"])
 
@@ -153,12 +153,26 @@ def local_aliases(symbols: DataFrame, keys: list[str], module: str = "module") -
     return own.groupBy(*keys, "tail").agg(F.count_distinct("symbol").alias("n"), F.min("symbol").alias("symbol")).where("n = 1").drop("n")
 
 
-def receiver_hints(lines: DataFrame, keys: list[str], aliases: DataFrame) -> DataFrame:
-    """keys, name, type: ``name: Type`` annotations resolved through aliases (keys, alias, target); the first wins."""
-    pairs = F.regexp_extract_all("text", F.lit(r"\b([a-z_]\w*)\s*:\s*([A-Z][\w.]*)"), 1), F.regexp_extract_all("text", F.lit(r"\b([a-z_]\w*)\s*:\s*([A-Z][\w.]*)"), 2)
-    spread = lines.select(*keys, "line", F.posexplode(F.arrays_zip(pairs[0].alias("n"), pairs[1].alias("t"))).alias("p", "x")).select(*keys, "line", "p", F.col("x.n").alias("name"), F.col("x.t").alias("alias"))
-    known = spread.join(aliases, [*keys, "alias"], "left")
-    return known.groupBy(*keys, "name").agg(F.min_by(F.coalesce("target", "alias"), F.struct("line", "p")).alias("type"))
+RECEIVER_PATTERN = r"\b([A-Za-z_][A-Za-z0-9_]*)\s*:\s*([A-Za-z_][A-Za-z0-9_.]*)"  # fixed value
+
+
+def receiver_hints(lines: DataFrame, keys: list[str], aliases: DataFrame, parents: DataFrame | None = None) -> DataFrame:
+    """keys, name, type: ``name: Type`` annotations in the target's body (``lines``: keys, line, text); the first wins.
+
+    ``aliases``: keys, alias, target, one row an alias. The type's first part is looked up there; a dotted type
+    without one stands for itself, others give no hint. ``parents``: keys, parent of targets whose calls are
+    asked for; there ``self`` and ``cls`` are the parent, whatever the annotations say.
+    """
+    found = F.regexp_extract_all("text", F.lit(RECEIVER_PATTERN), F.lit(1)), F.regexp_extract_all("text", F.lit(RECEIVER_PATTERN), F.lit(2))
+    spread = lines.select(*keys, "line", F.posexplode(F.arrays_zip(found[0].alias("n"), found[1].alias("t"))).alias("p", "x")).select(*keys, "line", "p", F.col("x.n").alias("name"), F.col("x.t").alias("type"))
+    spread = spread.where(~F.col("type").isin("None", "Self", *SKIPPED_CALLS)).withColumn("alias", F.substring_index("type", ".", 1))
+    dotted = F.when(F.contains("type", F.lit(".")), F.col("type"))
+    resolved = F.coalesce(F.concat("target", F.expr("substring(type, length(alias) + 1)")), dotted)
+    known = spread.join(aliases.select(*keys, "alias", "target"), [*keys, "alias"], "left").select(*keys, "name", F.struct("line", "p").alias("at"), resolved.alias("type")).where("type is not null")
+    if parents is not None:
+        own = parents.where("parent <> ''").select(*keys, F.explode(F.array(F.lit("self"), F.lit("cls"))).alias("name"), F.struct(F.lit(-1).alias("line"), F.lit(0).alias("p")).alias("at"), F.col("parent").alias("type"))
+        known = known.union(own)
+    return known.groupBy(*keys, "name").agg(F.min_by("type", "at").alias("type"))
 
 
 def import_lines(lines: DataFrame, keys: list[str], rank: str = "start_line") -> DataFrame:
