@@ -157,7 +157,8 @@ RECEIVER_PATTERN = r"\b([A-Za-z_][A-Za-z0-9_]*)\s*:\s*([A-Za-z_][A-Za-z0-9_.]*)"
 
 
 def receiver_hints(lines: DataFrame, keys: list[str], aliases: DataFrame, parents: DataFrame | None = None) -> DataFrame:
-    """keys, name, type: ``name: Type`` annotations in the target's body (``lines``: keys, line, text); the first wins.
+    """keys, name, type: ``name: Type`` annotations in the target's body (``lines``: keys, line, text); the first wins,
+    on equal lines the smallest type.
 
     ``aliases``: keys, alias, target, one row an alias. The type's first part is looked up there; a dotted type
     without one stands for itself, others give no hint. ``parents``: keys, parent of targets whose calls are
@@ -172,7 +173,7 @@ def receiver_hints(lines: DataFrame, keys: list[str], aliases: DataFrame, parent
     if parents is not None:
         own = parents.where("parent <> ''").select(*keys, F.explode(F.array(F.lit("self"), F.lit("cls"))).alias("name"), F.struct(F.lit(-1).alias("line"), F.lit(0).alias("p")).alias("at"), F.col("parent").alias("type"))
         known = known.union(own)
-    return known.groupBy(*keys, "name").agg(F.min_by("type", "at").alias("type"))
+    return known.groupBy(*keys, "name").agg(F.min(F.struct("at", "type"))["type"].alias("type"))
 
 
 def import_lines(lines: DataFrame, keys: list[str], rank: str = "start_line") -> DataFrame:

@@ -650,6 +650,50 @@ def callee_resolution(spark, sf):
     return held.withColumn("status", pack.candidate_status(e, F.col("hint"), F.lit("pkg"), target, F.lit("exclude")))
 
 
+@query
+def call_lines(spark, sf):
+    shapes = ("    x = p%s.go(len(y))  # s3()", "\tdef f%s(a):", "s = '#' + f%s('#') # t", "signals.connect(h%s.run, sender)", "# only p%s()", "if (a%s(b.c(1)) and not isinstance(d, e)):")
+    line = F.replace(F.element_at(F.array(*map(F.lit, shapes)), (F.col("l_partkey") % 6 + 1).cast("int")), F.lit("%s"), F.col("l_partkey").cast("string"))
+    held = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", line.alias("line"))
+    joined = {"calls": text.call_expressions("line"), "callbacks": text.callback_arguments("line")}
+    return held.select("l_orderkey", "l_linenumber", text.without_comment("line").alias("code"), pack.is_definition_line(F.col("line")).alias("definition"), *[F.array_join(c, ",").alias(n) for n, c in joined.items()])
+
+
+@query
+def local_alias_map(spark, sf):
+    k = F.floor(F.col("p_partkey") / 2)
+    symbols = table(spark, sf, "part").where("p_partkey % 6 <> 5").select((k % 5).alias("lib"), F.concat(F.lit("pkg.m"), F.col("p_partkey") % 4, F.lit(".t"), k).alias("symbol"))
+    return pack.local_aliases(symbols.withColumn("module", F.when(F.col("lib") == 4, "pkg.m1").otherwise("pkg")), ["lib"])
+
+
+@query
+def receiver_types(spark, sf):
+    kind = F.element_at(F.array(*map(F.lit, ("Local", "http.Req", "lib.X", "Unknown"))), (F.col("l_partkey") % 4 + 1).cast("int"))
+    body = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("line"), F.concat(F.lit("n"), F.col("l_suppkey") % 3, F.lit(": "), kind).alias("text"))
+    orders = body.select("l_orderkey").distinct()
+    aliases = orders.select("l_orderkey", F.explode(F.create_map(F.lit("Local"), F.lit("m.Local"), F.lit("http"), F.lit("app.http"))).alias("alias", "target"))
+    return pack.receiver_hints(body, ["l_orderkey"], aliases, orders.select("l_orderkey", F.when(F.col("l_orderkey") % 2 == 0, "m.Owner").otherwise("").alias("parent")))
+
+
+@query
+def agent_reads(spark, sf):
+    places = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.concat(F.lit("f"), F.col("l_partkey") % 20).alias("file"), "l_linenumber", "l_suppkey")
+    cases = table(spark, sf, "orders").select(F.col("o_orderkey").alias("case_id"))
+    return evaluate.agent_retrieval(cases, places.where("l_linenumber = 2"), places, places.where("l_suppkey % 2 = 0"))
+
+
+@query
+def query_dedupe(spark, sf):
+    none = F.array().cast("array<string>")
+    asked = table(spark, sf, "events").select(F.col("user_id").alias("case_id"), F.col("event_id").alias("ord"), F.col("event_type").alias("text"), F.array("event_type").alias("terms"), none.alias("symbols"), none.alias("patterns"))
+    return rank.distinct_queries(asked).select("case_id", "ord", "text")
+
+
+@query
+def mirror_checks(spark, sf):
+    return quality.rule_errors(table(spark, sf, "labels"), "doc_id", quality.mirror_rules({"quality and toxic differ": ("quality", "toxic")}))
+
+
 def queries() -> dict[str, Query]:
     return dict(_found)
 

@@ -210,3 +210,20 @@ ORACLES |= {
     "yaml_payloads": "SELECT case_id, pos, caller, callee, file::VARCHAR AS file, line::VARCHAR AS line, evidence, confidence_type::VARCHAR AS confidence_type, notes::VARCHAR AS notes FROM (VALUES ('c1', 0, 'a.b', 'c.d', NULL, NULL, 'x: y', NULL, NULL), ('c2', 0, 'e', 'f', NULL, NULL, NULL, NULL, NULL)) t(case_id, pos, caller, callee, file, line, evidence, confidence_type, notes)",
     "callee_resolution": "WITH e AS (SELECT p_partkey, ['self.run', 'h', 'h.x', 'obj.go', 'logger.info', 'cls', 'a.b.c', 'q'][(p_partkey % 8 + 1)::INT] AS expression FROM part), h AS (SELECT *, CASE expression WHEN 'q' THEN 'pkg.mod.q' WHEN 'self.run' THEN 'pkg.mod.Box.run' WHEN 'h' THEN 'pkg.helpers.h' WHEN 'h.x' THEN 'pkg.helpers.h.x' WHEN 'obj.go' THEN 'pkg.mod.Obj.go' WHEN 'logger.info' THEN 'logger.info' WHEN 'cls' THEN 'pkg.mod.Box' WHEN 'a.b.c' THEN 'a.b.c' END AS hint FROM e) SELECT *, CASE WHEN expression = 'logger.info' THEN 'filtered_low_value' WHEN starts_with(hint, 'pkg.') THEN 'primary' ELSE 'secondary' END AS status FROM h",
 }
+
+ORACLES |= {
+    "call_lines": """WITH l AS (SELECT *, l_partkey % 6 AS m, l_partkey::VARCHAR AS k FROM lineitem)
+        SELECT l_orderkey, l_linenumber, m = 1 AS definition, CASE m WHEN 3 THEN 'h' || k || '.run' ELSE '' END AS callbacks,
+            CASE m WHEN 0 THEN '    x = p' || k || '.go(len(y))  ' WHEN 1 THEN chr(9) || 'def f' || k || '(a):' WHEN 2 THEN 's = ''#'' + f' || k || '(''#'') ' WHEN 3 THEN 'signals.connect(h' || k || '.run, sender)' WHEN 4 THEN '' ELSE 'if (a' || k || '(b.c(1)) and not isinstance(d, e)):' END AS code,
+            CASE m WHEN 0 THEN 'p' || k || '.go' WHEN 1 THEN 'f' || k WHEN 2 THEN 'f' || k WHEN 3 THEN 'signals.connect' WHEN 4 THEN '' ELSE 'a' || k || ',b.c' END AS calls FROM l""",
+    "local_alias_map": """WITH s AS (SELECT (p_partkey // 2) % 5 AS lib, 't' || (p_partkey // 2) AS tail, 'pkg.m' || (p_partkey % 4) AS module, p_partkey FROM part WHERE p_partkey % 6 <> 5)
+        SELECT lib, tail, min(module || '.' || tail) AS symbol FROM s WHERE lib < 4 OR module = 'pkg.m1' GROUP BY 1, 2 HAVING count(DISTINCT module) = 1""",
+    "receiver_types": """WITH t AS (SELECT l_orderkey, l_linenumber, 'n' || (l_suppkey % 3) AS name, CASE l_partkey % 4 WHEN 0 THEN 'm.Local' WHEN 1 THEN 'app.http.Req' WHEN 2 THEN 'lib.X' END AS type FROM lineitem)
+        SELECT l_orderkey, name, min(struct_pack(l := l_linenumber, t := type)).t AS type FROM t WHERE type IS NOT NULL GROUP BY 1, 2
+        UNION ALL SELECT DISTINCT l_orderkey, name, 'm.Owner' FROM lineitem, (VALUES ('self'), ('cls')) n(name) WHERE l_orderkey % 2 = 0""",
+    "agent_reads": """WITH p AS (SELECT l_orderkey AS case_id, 'f' || (l_partkey % 20) AS file, l_linenumber, l_suppkey FROM lineitem), r AS (SELECT DISTINCT case_id, file, true AS seen FROM p WHERE l_suppkey % 2 = 0),
+        d AS (SELECT case_id, min(CASE WHEN seen THEN 1.0 ELSE 0.0 END)::DOUBLE AS d FROM p LEFT JOIN r USING (case_id, file) WHERE l_linenumber = 2 GROUP BY 1), e AS (SELECT case_id, round_even(count(seen) / count(*), 6) AS e FROM p LEFT JOIN r USING (case_id, file) GROUP BY 1)
+        SELECT o_orderkey AS case_id, coalesce(d, 0.0)::DOUBLE AS definition_accuracy, e AS retrieval_recall FROM orders LEFT JOIN d ON d.case_id = o_orderkey LEFT JOIN e ON e.case_id = o_orderkey""",
+    "query_dedupe": "SELECT user_id AS case_id, min(event_id) AS ord, event_type AS text FROM events GROUP BY 1, 3",
+    "mirror_checks": "SELECT doc_id, 'quality and toxic differ' AS error FROM labels WHERE quality IS DISTINCT FROM toxic",
+}
