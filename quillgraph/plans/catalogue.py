@@ -694,6 +694,51 @@ def mirror_checks(spark, sf):
     return quality.rule_errors(table(spark, sf, "labels"), "doc_id", quality.mirror_rules({"quality and toxic differ": ("quality", "toxic")}))
 
 
+def _spanned(spark, sf):
+    """Overlapping chunks of ten to a file, with the definitions in their lines."""
+    at = F.col("p_partkey") % 10
+    chunks = table(spark, sf, "part").select(F.col("p_partkey").alias("chunk_id"), F.floor(F.col("p_partkey") / 10).alias("file"), (at * 10 + 1).cast("int").alias("start_line"), (at * 10 + 14).cast("int").alias("end_line"), F.lit("a.b").alias("text"))
+    start = (F.col("l_orderkey") % 120).cast("int")
+    found = table(spark, sf, "lineitem").select(F.floor(F.col("l_partkey") / 10).alias("file"), F.concat(F.lit("s"), "l_suppkey").alias("symbol"), F.lit("function").alias("kind"), start.alias("start"), (start + F.col("l_linenumber") * 3).cast("int").alias("end"))
+    return index.with_spans(chunks, found, ["file"])
+
+
+@query
+def chunk_definitions(spark, sf):
+    return _spanned(spark, sf).select("chunk_id", F.size("symbol_spans").cast("long").alias("n_spans"), F.array_join("defined_symbols", ",").alias("defined"))
+
+
+@query
+def definition_pick(spark, sf):
+    targets = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("case_id"), F.concat(F.lit("s"), "s_suppkey").alias("target"))
+    units = _spanned(spark, sf).withColumn("score", (F.col("chunk_id") % 4).cast("double"))
+    return rank.definition_candidates(units, targets, "case_id", "chunk_id").select("case_id", "chunk_id", "score")
+
+
+@query
+def definition_queries(spark, sf):
+    cases = table(spark, sf, "part").select(F.col("p_partkey").alias("case_id"), F.concat(F.lit("pkg.m.t"), "p_partkey").alias("target"), F.when(F.col("p_partkey") % 3 == 0, "class").otherwise("function").alias("target_type"))
+    return rank.definition_query(cases).select("case_id", "label", "text", F.array_join("symbols", ",").alias("symbols"), F.array_join("patterns", ",").alias("patterns"))
+
+
+@query
+def options_of_cases(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("case_id"), "l_linenumber")
+    key = F.col("o_orderkey")
+    own = table(spark, sf, "orders").where(key % 3 != 0).select(key.alias("case_id"), F.when(key % 4 == 0, True).alias("include_tests"), F.when(key % 5 == 0, "include").alias("external_deps"), F.when(key % 7 == 0, "workspace").alias("scope"))
+    return edges.processing_options(rows, own, external_deps="summarise")
+
+
+@query
+def rendered_candidates(spark, sf):
+    m = F.col("l_linenumber") % 3
+    held = table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("case_id"), F.when(m == 0, "primary").when(m == 1, "secondary").otherwise("filtered_test").alias("status"), F.when(F.col("l_partkey") % 5 != 0, F.col("l_partkey")).alias("rank"),
+        F.concat(F.lit("f"), "l_orderkey").alias("file"), F.col("l_linenumber").alias("line"), F.concat(F.lit("e"), "l_partkey").alias("expression"),
+    )
+    return pack.visible_candidates(held, "case_id").withColumn("nth", F.col("nth").cast("long"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_found)
 

@@ -227,3 +227,18 @@ ORACLES |= {
     "query_dedupe": "SELECT user_id AS case_id, min(event_id) AS ord, event_type AS text FROM events GROUP BY 1, 3",
     "mirror_checks": "SELECT doc_id, 'quality and toxic differ' AS error FROM labels WHERE quality IS DISTINCT FROM toxic",
 }
+
+_SPANNED = """c AS (SELECT p_partkey AS chunk_id, p_partkey // 10 AS file, p_partkey % 10 * 10 + 1 AS start_line, p_partkey % 10 * 10 + 14 AS end_line FROM part),
+    d AS (SELECT l_partkey // 10 AS file, 's' || l_suppkey AS symbol, l_orderkey % 120 AS b, l_orderkey % 120 + l_linenumber * 3 AS e FROM lineitem),
+    o AS (SELECT c.*, symbol, b FROM c JOIN d ON c.file = d.file AND b <= end_line AND e >= start_line)"""
+
+ORACLES |= {
+    "chunk_definitions": f"""WITH {_SPANNED}, g AS (SELECT chunk_id, symbol, min(b) AS b, count(*) AS n FROM o GROUP BY 1, 2), l AS (SELECT chunk_id, sum(n) AS n, string_agg(symbol, ',' ORDER BY b, symbol) AS defined FROM g GROUP BY 1)
+        SELECT chunk_id, coalesce(n, 0)::BIGINT AS n_spans, coalesce(defined, '') AS defined FROM c LEFT JOIN l USING (chunk_id)""",
+    "definition_pick": f"""WITH {_SPANNED}, r AS (SELECT s_suppkey AS case_id, chunk_id, chunk_id % 4 AS score, row_number() OVER (PARTITION BY s_suppkey ORDER BY CASE WHEN b BETWEEN start_line AND end_line THEN 0 ELSE 1 END, chunk_id % 4 DESC, start_line, chunk_id) AS nth FROM supplier JOIN o ON symbol = 's' || s_suppkey)
+        SELECT case_id, chunk_id, CASE WHEN score = 0 THEN 1 ELSE score END::DOUBLE AS score FROM r WHERE nth = 1""",
+    "definition_queries": "SELECT p_partkey AS case_id, 'target_definition_slot' AS label, 'pkg.m.t' || p_partkey AS text, 'pkg.m.t' || p_partkey AS symbols, CASE WHEN p_partkey % 3 = 0 THEN 'class t' || p_partkey ELSE 'def t' || p_partkey || '(,async def t' || p_partkey || '(' END AS patterns FROM part",
+    "options_of_cases": "SELECT l_orderkey AS case_id, l_linenumber, l_orderkey % 3 <> 0 AND l_orderkey % 4 = 0 AS opt_tests, 'summarise' AS opt_deps, CASE WHEN l_orderkey % 3 <> 0 AND l_orderkey % 7 = 0 THEN 'workspace' ELSE 'repo_only' END AS opt_scope FROM lineitem",
+    "rendered_candidates": """WITH h AS (SELECT l_suppkey AS case_id, CASE WHEN l_linenumber % 3 = 0 THEN 'primary' ELSE 'secondary' END AS status, CASE WHEN l_partkey % 5 <> 0 THEN l_partkey END AS rank, 'f' || l_orderkey AS file, l_linenumber AS line, 'e' || l_partkey AS expression FROM lineitem WHERE l_linenumber % 3 <> 2)
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY status, coalesce(rank, 999999), file, line, expression) AS nth FROM h) WHERE nth <= 60""",
+}
