@@ -28,7 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
+#: Used only where neither the caller nor the Spark setting KEY_SETTING gives a key; anybody can undo its pseudonyms.
 KEY = "quillgraph"
+KEY_SETTING = "spark.quillgraph.pii.key"
 
 #: Countries by the length of their IBANs.
 _LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
@@ -201,8 +203,9 @@ def _pseudonym(key: str) -> str:
     return "CASE " + " ".join(f"WHEN k = '{kind}' THEN {sql}" for kind, sql in made.items()) + " ELSE m END"
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text", found: str | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str | None = None, text: str = "text", found: str | None = None) -> DataFrame:
     """``docs``, all columns, with pseudonyms in ``text``; ``found`` names an added array of (kind, changed) if wanted."""
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, KEY)
     own = [F.col(f"`{c}`") for c in docs.columns if c != text]
     held = docs.select(F.struct(*own, F.lit(1).alias("__one")).alias("own"), F.col(f"`{text}`").cast("string").alias("t"))
     searched = F.when(F.col("t").rlike(HINT), F.regexp_extract_all("t", F.lit(ANY), 0)).otherwise(F.array().cast("array<string>"))

@@ -31,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
         here = spark.sparkContext._jsc.sc().getCheckpointDir()
         if here.isDefined():
             return here.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if "local" not in _own:
             _own["local"] = tempfile.mkdtemp(prefix="quillgraph-")
             atexit.register(shutil.rmtree, _own["local"], True)

@@ -136,14 +136,14 @@ root AS (SELECT n AS id, min(c) AS component_id FROM reach GROUP BY 1)"""
 ORACLES["op1_near_duplicates"] = rf"""
 WITH RECURSIVE doc AS (
     SELECT doc_id AS id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
-at AS NOT MATERIALIZED (SELECT id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM doc WHERE len(w) > 0),
-sh AS (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS g FROM at),
+placed AS (SELECT id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM doc WHERE len(w) > 0),
+sh AS (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS g FROM placed),
 node AS (SELECT d.id, count(g) AS n FROM (SELECT DISTINCT id FROM doc) d LEFT JOIN sh USING (id) GROUP BY 1),
 common AS (SELECT x.id AS a, y.id AS b, count(*) AS i FROM sh x JOIN sh y ON x.g = y.g AND x.id < y.id GROUP BY 1, 2),
 link AS (SELECT a, b FROM common JOIN node p ON p.id = a JOIN node q ON q.id = b WHERE 100 * i >= 75 * (p.n + q.n - i)),
 {_REACH}
 SELECT d.doc_id, n AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN node ON node.id = d.doc_id JOIN root ON root.id = d.doc_id
-""".replace("\nat AS NOT MATERIALIZED", "\nplaced AS").replace("FROM at)", "FROM placed)")
+"""
 
 ORACLES["op10_embedding_duplicates"] = f"""
 WITH RECURSIVE node AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),

@@ -80,3 +80,14 @@ def test_secrets_of_letters_and_ibans_before_capitals(spark):
         tail = ("", " EUR", " 1234")[k % 3]
         assert new.endswith(tail) and new != values[k] and new.removesuffix(tail) == got[k - k % 3]
     assert changed(spark, ["ES9121000418450200051333 EUR"]) == ["ES9121000418450200051333 EUR"]
+
+
+def test_key_of_the_session(spark):
+    docs = spark.createDataFrame([(1, "card 4111 1111 1111 1111")], "doc_id long, text string")
+    plain = pii.pseudonymise(docs).first().text
+    spark.conf.set(pii.KEY_SETTING, "another")
+    try:
+        assert pii.pseudonymise(docs).first().text == pii.pseudonymise(docs, key="another").first().text != plain
+        assert pii.pseudonymise(docs, key=pii.KEY).first().text == plain
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
