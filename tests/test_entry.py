@@ -20,10 +20,10 @@ def test_imports_without_the_text_subpackage(monkeypatch):
     assert not any(n.startswith("op") and n[2].isdigit() for n in made.queries()) and "pipeline" not in made.oracle_sql()
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "edge_score_ctor", "greedy_pack", "retrieval_mrr", "sft_token_stats", "canonical_prefix"])
+@pytest.mark.parametrize("name", ["bm25_topk", "edge_score_ctor", "greedy_pack", "retrieval_mrr", "sft_token_stats", "canonical_prefix", "call_lines", "receiver_types", "agent_reads", "definition_pick", "rendered_candidates"])
 def test_same_rows_as_sql(spark, small, name):
     con = duckdb.connect()
-    for table in ("benchmark", "conversations", "documents", "embeddings", "events", "lineitem", "part"):
+    for table in ("benchmark", "conversations", "documents", "embeddings", "events", "lineitem", "orders", "part", "supplier"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{small}/{table}.parquet'")
     made = __spark_entry__.queries()[name](spark, small)
     want = con.sql(__spark_entry__.oracle_sql()[name])
