@@ -38,6 +38,8 @@ BANDS, ROWS = 32, 4
 TILE, TILE_SHINGLES = 256, 1 << 20
 #: Members of a larger group whose sets together stand for what its members have in common.
 HUBS = 4
+#: Bits that tell which ids may be asked for: 1024 bitmaps of 4 kB, whatever the number of ids.
+ID_BITS = 1 << 25
 
 _MIX = np.random.default_rng(71).integers(1, 2**63, WORDS + ROWS + BANDS + 8, dtype=np.uint64) | np.uint64(1)
 _SHORT_SALT = np.arange(WORDS, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -142,15 +144,36 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(least * 100 >= most * PERCENT).select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb")).alias("s")).where(F.col("i") * 100 >= (F.col("s") - F.col("i")) * PERCENT).select("a", "b").distinct()
 
 
+def _maybe_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without most rows whose doc_id is not among ``ids`` (one column): bitmaps of hashed ids are all that is broadcast.
+
+    No asked row goes. Of the others a share of |ids| / ID_BITS stays, so beyond some ten million ids this saves nothing.
+    """
+    slot = F.pmod(F.xxhash64(F.col(ids.columns[0])), F.lit(ID_BITS))
+    marks = ids.select(F.bitmap_bucket_number(slot).alias("part"), F.bitmap_bit_position(slot).alias("bit")).repartition("part")
+    maps = marks.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    own = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BITS))
+    byte = F.conv(F.hex(F.substring("bits", (F.bitmap_bit_position(own) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    held = F.expr("shiftright(b, o) & 1") == 1
+    met = docs.join(F.broadcast(maps), F.bitmap_bucket_number(own) == maps["part"])
+    return met.select("doc_id", "text", byte.alias("b"), (F.bitmap_bit_position(own) % 8).cast("int").alias("o")).where(held).select("doc_id", "text")
+
+
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, text of the rows whose id is among the distinct ``ids``; an inner join, as a semi-join would be moved below the bitmaps."""
+    some = _maybe_in(docs, ids)
+    return some.join(ids.hint("shuffle_hash"), some["doc_id"] == ids[ids.columns[0]]).select(some["doc_id"], "text")
+
+
 def _sets_of(docs: DataFrame, signed: DataFrame, classes: DataFrame, nodes: DataFrame, same_id: DataFrame | None, repeated: bool) -> DataFrame:
     """node, shingles of each of ``nodes``, once."""
     schema = "node long, d1 long, d2 long, shingles array<long>"
     if same_id is None:
-        made = docs.join(nodes.hint("shuffle_hash"), docs["doc_id"] == nodes["node"], "left_semi").mapInArrow(_sets, schema)
+        made = _texts_of(docs, nodes).mapInArrow(_sets, schema)
     else:
         asked = classes.join(nodes, "node", "left_semi").select("d1", "d2", "node")
         ids = signed.join(asked, ["d1", "d2"], "left_semi").select("doc_id").distinct()
-        made = docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sets, schema).drop("node").join(asked, ["d1", "d2"])
+        made = _texts_of(docs, ids).mapInArrow(_sets, schema).drop("node").join(asked, ["d1", "d2"])
     made = made.select("node", "shingles")
     return made.dropDuplicates(["node"]) if repeated else made
 
