@@ -144,36 +144,36 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(least * 100 >= most * PERCENT).select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb")).alias("s")).where(F.col("i") * 100 >= (F.col("s") - F.col("i")) * PERCENT).select("a", "b").distinct()
 
 
-def _maybe_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without most rows whose doc_id is not among ``ids`` (one column): bitmaps of hashed ids are all that is broadcast.
+def _maybe_in(rows: DataFrame, name: str, ids: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``name`` is not among ``ids`` (one column): bitmaps of hashed ids are all that is broadcast.
 
     No asked row goes. Of the others a share of |ids| / ID_BITS stays, so beyond some ten million ids this saves nothing.
     """
     slot = F.pmod(F.xxhash64(F.col(ids.columns[0])), F.lit(ID_BITS))
     marks = ids.select(F.bitmap_bucket_number(slot).alias("part"), F.bitmap_bit_position(slot).alias("bit")).repartition("part")
     maps = marks.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    own = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BITS))
+    own = F.pmod(F.xxhash64(name), F.lit(ID_BITS))
     byte = F.conv(F.hex(F.substring("bits", (F.bitmap_bit_position(own) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
     held = F.expr("shiftright(b, o) & 1") == 1
-    met = docs.join(F.broadcast(maps), F.bitmap_bucket_number(own) == maps["part"])
-    return met.select("doc_id", "text", byte.alias("b"), (F.bitmap_bit_position(own) % 8).cast("int").alias("o")).where(held).select("doc_id", "text")
+    met = rows.join(F.broadcast(maps), F.bitmap_bucket_number(own) == maps["part"])
+    return met.select(*rows.columns, byte.alias("b"), (F.bitmap_bit_position(own) % 8).cast("int").alias("o")).where(held).select(*rows.columns)
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, text of the rows whose id is among the distinct ``ids``; an inner join, as a semi-join would be moved below the bitmaps."""
-    some = _maybe_in(docs, ids)
-    return some.join(ids.hint("shuffle_hash"), some["doc_id"] == ids[ids.columns[0]]).select(some["doc_id"], "text")
+def _rows_of(rows: DataFrame, name: str, ids: DataFrame) -> DataFrame:
+    """The rows whose ``name`` is among the distinct ``ids``; an inner join, as a semi-join would be moved below the bitmaps."""
+    some = _maybe_in(rows, name, ids)
+    return some.join(ids.hint("shuffle_hash"), some[name] == ids[ids.columns[0]]).select(*[some[c] for c in rows.columns])
 
 
 def _sets_of(docs: DataFrame, signed: DataFrame, classes: DataFrame, nodes: DataFrame, same_id: DataFrame | None, repeated: bool) -> DataFrame:
     """node, shingles of each of ``nodes``, once."""
     schema = "node long, d1 long, d2 long, shingles array<long>"
     if same_id is None:
-        made = _texts_of(docs, nodes).mapInArrow(_sets, schema)
+        made = _rows_of(docs, "doc_id", nodes).mapInArrow(_sets, schema)
     else:
         asked = classes.join(nodes, "node", "left_semi").select("d1", "d2", "node")
         ids = signed.join(asked, ["d1", "d2"], "left_semi").select("doc_id").distinct()
-        made = _texts_of(docs, ids).mapInArrow(_sets, schema).drop("node").join(asked, ["d1", "d2"])
+        made = _rows_of(docs, "doc_id", ids).mapInArrow(_sets, schema).drop("node").join(asked, ["d1", "d2"])
     made = made.select("node", "shingles")
     return made.dropDuplicates(["node"]) if repeated else made
 
@@ -288,6 +288,8 @@ def _settle(stars: DataFrame, roots: DataFrame, sets: DataFrame, scratch: Scratc
     middle = buckets.groupBy("key").agg(F.min(F.struct("u", "node", "part")).alias("c")).select("key", F.col("c.part").alias("whole"))
     members = buckets.join(middle, "key").select(F.col("whole").alias("key"), "node", "home", "part", "n", "u", F.lit(0).alias("turn")).distinct()
     members = scratch.keep(_open(members))
+    # few sets are read over and over: the rounds must not deal the others each time
+    sets = scratch.keep(_rows_of(sets, "node", members.select("node").distinct()))
     found: list[DataFrame] = []
     while True:
         sizes = {r.tile: r["count"] for r in members.groupBy("tile").count().collect()}

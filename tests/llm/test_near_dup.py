@@ -126,8 +126,8 @@ def test_word_hashes_do_not_depend_on_place_or_pieces(monkeypatch):
 def test_bitmaps_lose_no_asked_id(spark):
     docs = spark.range(-5000, 40000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).union(spark.createDataFrame([(None, "x"), (2**62, "x")], "doc_id long, text string"))
     ids = docs.where("doc_id % 7 = 0 or doc_id = 4611686018427387904").select(F.col("doc_id").alias("node"))
-    some = near_dup._maybe_in(docs, ids)
+    some = near_dup._maybe_in(docs, "doc_id", ids)
     asked = ids.count()
     assert ids.join(some, ids["node"] == some["doc_id"], "left_anti").count() == 0
     assert asked <= some.count() <= asked + 200
-    assert near_dup._maybe_in(docs, ids.limit(0)).count() == 0
+    assert near_dup._maybe_in(docs, "doc_id", ids.limit(0)).count() == 0
