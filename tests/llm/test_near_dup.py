@@ -94,6 +94,50 @@ def test_groups_over_a_tile_are_settled_by_stars_alone(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_rounds_do_not_grow_with_the_size_of_a_group(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "TILE", 8)
+    rounds, around = [], near_dup._around_hubs
+
+    def counted(*args):
+        rounds.append(1)
+        assert len(rounds) <= 4
+        return around(*args)
+
+    monkeypatch.setattr(near_dup, "_around_hubs", counted)
+    # 40 whole sets in one component; others are in the union of any four of these, but near to none of them
+    rng = np.random.default_rng(22)
+    sets = {k: {*range(120)} - set(rng.choice(120, 12, replace=False).tolist()) for k in range(40)}
+    sets |= {k: set(rng.choice(120, 85, replace=False).tolist()) for k in range(40, 64)}
+    # three of these are near a single whole set, and two near each other
+    sets |= {64 + k: set(sorted(sets[30 + k])[k : 84 + k]) for k in range(3)} | {67: set(sorted(sets[50])[3:])}
+    stars = spark.createDataFrame([(5, 0, k, len(sets)) for k in sets if k], "key long, a long, b long, m long")
+    roots = spark.createDataFrame([(k, 0) for k in range(1, 40)], "node long, root long")
+    frame = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "node long, shingles array<long>")
+    got = {r.node: r.root for r in near_dup._settle(stars, roots, frame, shared.Scratch(spark, "test")).collect()}
+    home, near = {k: 0 if k < 40 else k for k in sets}, lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    for _ in sets:
+        for i in sets:
+            home[i] = min(home[j] for j in sets if home[j] == home[i] or near(sets[i], sets[j]))
+    assert rounds and got == {k: v for k, v in home.items() if k >= 40 and v < k} and {64, 65, 66, 67} <= set(got)
+
+
+def test_blocks_lose_no_link_between_components(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "TILE", 4)
+    monkeypatch.setattr(near_dup, "STRIP", 16)
+    rng = np.random.default_rng(31)
+    sets = {k: sorted({*range(60), *range(1000, 1040)} - set(rng.choice(60, rng.integers(0, 30), replace=False).tolist()) | {2000 + k}) if k < 40 else sorted(rng.choice(60, 40, replace=False).tolist()) for k in range(60)}
+    rows = [(key, k, k + 100, 0 if k < 30 else k, len(v)) for key in (1, 2) for k, v in sets.items() if key == 1 or k % 3]
+    # the last group is of one lone member, whose partner is in the largest component
+    rows += [(3, k, k + 100, 0, len(sets[k])) for k in range(5)] + [(3, 35, 135, 35, len(sets[35]))]
+    members = spark.createDataFrame(rows, "key long, node long, home long, part long, n long")
+    got = {tuple(sorted((r.a, r.b))) for r in near_dup._across(members, spark.createDataFrame(list(sets.items()), "node long, shingles array<long>")).collect()}
+    near = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    want = {(a, b) for ka, a, _, p, _ in rows for kb, b, _, q, _ in rows if ka == kb and a < b and p != q and near(set(sets[a]), set(sets[b]))}
+    part = {k: 0 if k < 30 else k for k in sets}
+    assert {(a - 100, b - 100) for a, b in got} <= want
+    assert {tuple(sorted((part[a - 100], part[b - 100]))) for a, b in got} == {tuple(sorted((part[a], part[b]))) for a, b in want} != set()
+
+
 def test_very_long_text(spark):
     long = " ".join(f"w{k}" for k in range(300_000))
     rows = [(1, long), (2, long + " tail"), (3, "a b c d e f g")]
