@@ -175,3 +175,34 @@ def test_bitmaps_lose_no_asked_id(spark):
     assert ids.join(some, ids["node"] == some["doc_id"], "left_anti").count() == 0
     assert asked <= some.count() <= asked + 200
     assert near_dup._maybe_in(docs, "doc_id", ids.limit(0)).count() == 0
+
+
+def written_to_shuffles(spark, act):
+    """Bytes that the stages which ``act`` runs write to exchanges."""
+    sc = spark.sparkContext
+    sc.setJobGroup("written_to_shuffles", "")
+    tracker, store = sc.statusTracker(), sc._jsc.sc().statusStore()
+    before = set(tracker.getJobIdsForGroup("written_to_shuffles"))
+    act()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("written_to_shuffles") if j not in before]
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    return sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in {s for j in jobs for s in j.stageIds} if tracker.getStageInfo(s))
+
+
+def test_texts_of_rows_that_stay_are_not_shuffled(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(map(str, rng.integers(0, 2**40, 300))) for _ in range(400)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(900, texts[7]), (901, texts[8] + " more"), (None, "a b"), (7, texts[7])]
+    spark.createDataFrame([(i, t, "p", b"", True) for i, t in rows], "doc_id long, text string, part string, BITS binary, gone boolean").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = near_dup.drop_near_duplicates(docs)
+        written = written_to_shuffles(spark, lambda: left.write.parquet(f"{tmp_path}/left"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert left.dtypes == docs.dtypes
+    assert sorted((r.doc_id is None, r.doc_id, r.text) for r in spark.read.parquet(f"{tmp_path}/left").collect()) == sorted((i is None, i, t) for i, t in rows if i not in (900, 901))
+    assert written < sum(map(len, texts)) / 10
