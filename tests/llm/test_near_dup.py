@@ -206,3 +206,35 @@ def test_texts_of_rows_that_stay_are_not_shuffled(spark, tmp_path):
     assert left.dtypes == docs.dtypes
     assert sorted((r.doc_id is None, r.doc_id, r.text) for r in spark.read.parquet(f"{tmp_path}/left").collect()) == sorted((i is None, i, t) for i, t in rows if i not in (900, 901))
     assert written < sum(map(len, texts)) / 10
+
+
+def test_tables_are_written_without_late_broadcasts_and_garbage_goes(spark, monkeypatch):
+    monkeypatch.setattr(shared, "COLLECT_EVERY", 2)
+    key = "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    seen, collected = [], []
+
+    class Session:
+        def __getattr__(self, name):
+            return getattr(spark, name)
+
+    class Machine:
+        class System:
+            gc = staticmethod(lambda: collected.append(scratch.count))
+
+    own = Session()
+    own._jvm = Machine()
+    scratch = shared.Scratch(own, "settings", near_dup.NO_LATE_BROADCASTS)
+
+    class Frame:
+        schema = spark.range(1).schema
+
+        class write:
+            @staticmethod
+            def parquet(path):
+                seen.append(spark.conf.get(key, None))
+                spark.range(3).write.parquet(path)
+
+    before = spark.conf.get(key, None)
+    assert [scratch.keep(Frame).count() for _ in range(5)] == [3] * 5
+    assert seen == ["-1"] * 5 and spark.conf.get(key, None) == before
+    assert collected == [2, 4]
