@@ -5,7 +5,8 @@ prefix is the count at the last piece boundary before it plus the count of a pie
 byte prefixes of every piece follow ``count[k] = count[k - len(t)] + 1`` where t is the last token of the prefix
 of k bytes: the longest vocabulary entry that ends there and that the library keeps beside the last token before
 it. A text's total, its stored running sum over pieces (``ends`` and ``counts``) and the answers to budgets all
-come from these tables; a worker remembers those of pieces it has met.
+come from these counts; a worker remembers the totals of pieces it has met. New pieces of a batch are counted in
+order, and what a piece shares with the one before, at their start, is counted once.
 
 Texts that a plain reading of the pattern does not cover (characters beyond the Latin blocks, where Unicode
 versions could differ, or a special token's string inside, which is a piece of its own) are cut by the library's
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import accumulate
 
@@ -34,25 +35,27 @@ REMEMBERED, LONG_PIECE = 400_000, 2000
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 # texts of these characters are split here; all others by the library
 _PLAIN = re.compile("[\x09-\x0d\x20-\x7e\xa1-\u02af]*")
-_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# what the library's \p{L} and \p{N} hold among these characters
+_LETTER, _NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ʯ", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
 
 
 class PrefixCounter:
     """Token counts of texts and their prefixes for one byte-level tokenizer file."""
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
-        self.pieces = regex.compile(_PIECES).findall
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
-        self.known: dict[str, Sequence[int]] = {}
-        self.apart: dict[tuple[str, str], bool] = {}
-        self.vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.longest = max(map(len, self.vocabulary))
+        self.known = _Totals(self)
+        self.apart: dict[int, bool] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.longest = max(map(len, vocabulary))
+        #: The number of each entry; -1 for what only begins one.
+        self.starts = dict.fromkeys((entry[:k] for entry in vocabulary for k in range(1, len(entry))), -1) | vocabulary
 
     def whole(self, texts: list[str]) -> list[int]:
         """Counts by the library itself."""
@@ -61,24 +64,35 @@ class PrefixCounter:
     def is_plain(self, text: str) -> bool:
         return _PLAIN.fullmatch(text) is not None and not any(s in text for s in self.specials)
 
-    def counts(self, piece: str) -> Sequence[int]:
-        """Tokens of every prefix of a piece, by its number of bytes; remembered."""
-        got = self.known.get(piece)
-        if got is None:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            made = self.inner(piece)
-            if piece in self.specials:
-                made[-1] = 1
-            got = bytes(made) if made[-1] < 256 and max(made) < 256 else made
-            if len(piece) <= LONG_PIECE:
-                self.known[piece] = got
-        return got
+    def learn(self, pieces: set[str]) -> None:
+        """Remembers the totals of ``pieces`` that have not been met, but for those of over LONG_PIECE characters."""
+        new = {p for p in pieces if p not in self.known}
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = pieces
+        before, count, last = "", [0], [-1]
+        for piece in sorted(p for p in new if len(p) <= LONG_PIECE):
+            data, same = _spelled(piece), 0
+            for x, y in zip(before, data):  # noqa: B905  to the end of the shorter
+                if x != y:
+                    break
+                same += 1
+            del count[same + 1 :], last[same + 1 :]
+            self._extend(data, count, last)
+            self.known[piece] = 1 if piece in self.specials else count[-1]
+            before = data
+
+    def total(self, piece: str) -> int:
+        """Tokens of one piece; remembered."""
+        if len(piece) > LONG_PIECE:
+            return 1 if piece in self.specials else self.inner(piece)[-1]
+        self.learn({piece})
+        return self.known[piece]
 
     def split(self, text: str) -> list[str]:
         """The pieces of any text, end to end."""
         if self.is_plain(text):
-            return self.pieces(text)
+            return _PIECES.findall(text)
         found = []
         for k, part in enumerate(self.special.split(text) if self.special else [text]):
             cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
@@ -87,38 +101,59 @@ class PrefixCounter:
 
     def prefixes(self, text: str) -> tuple[list[int], list[int]]:
         """(end of each piece in characters, tokens up to it), both starting at 0."""
-        pieces, known = self.split(text), self.known
-        totals = [known[p][-1] if p in known else self.counts(p)[-1] for p in pieces]
-        return list(accumulate(map(len, pieces), initial=0)), list(accumulate(totals, initial=0))
+        pieces = self.split(text)
+        return _running(pieces, map(self.known.__getitem__, pieces))
+
+    def rows(self, texts: list[str], limit: int, running: bool) -> Iterator[tuple[int, int, tuple[list[int], list[int]] | None]]:
+        """(tokens, characters of the longest prefix within ``limit``, prefixes if ``running``) of each text."""
+        split = [self.split(text) for text in texts]
+        self.learn(set().union(*split))
+        for text, pieces in zip(texts, split, strict=True):
+            totals = list(map(self.known.__getitem__, pieces))
+            total = sum(totals)
+            known = _running(pieces, totals) if running or total > limit else None
+            yield total, len(text) if total <= limit else self.fit(text, limit, known), known
 
     def inner(self, piece: str, budget: int | None = None) -> list[int]:
         """Tokens of every prefix of one piece, by its number of bytes from 0 on.
 
         With ``budget`` the list ends where no longer prefix can have so few tokens.
         """
-        alphabet, vocabulary, longest = _byte_alphabet(), self.vocabulary, self.longest
-        data = "".join(alphabet[b] for b in piece.encode())
-        count, last, over = [0], [""], 0
-        for k in range(1, len(data) + 1):
-            for a in range(max(0, k - longest), k):
-                token = data[a:k]
-                if token in vocabulary and (not a or self._stay_apart(last[a], token)):
+        count = [0]
+        self._extend(_spelled(piece), count, [-1], budget)
+        return count
+
+    def _extend(self, data: str, count: list[int], last: list[int], budget: int | None = None) -> None:
+        """Carries the recursion on to the end of ``data``: tokens of each prefix, and the last of them by its number."""
+        number, apart, low, over = self.starts.get, self.apart, 0, 0
+        for k in range(len(count), len(data) + 1):
+            for a in range(low, k):
+                token = number(data[a:k])
+                if token is None:
+                    # nothing begins so, and so nothing longer from here
+                    if a == low:
+                        low = a + 1
+                elif token >= 0:
+                    if a:
+                        pair = last[a] << 32 | token
+                        stay = apart.get(pair)
+                        if not (self._stay_apart(pair) if stay is None else stay):
+                            continue
                     count.append(count[a] + 1)
                     last.append(token)
                     break
-            # a prefix has one token more than one of the ``longest`` before it
-            over = over + 1 if budget is not None and count[-1] > budget else 0
-            if over >= longest:
-                break
-        return count
+            if budget is not None:
+                # a prefix has one token more than one of the ``longest`` before it
+                over = over + 1 if count[-1] > budget else 0
+                if over >= self.longest:
+                    break
 
-    def _stay_apart(self, left: str, right: str) -> bool:
-        pair = (left, right)
-        got = self.apart.get(pair)
-        if got is None:
-            if len(self.apart) > REMEMBERED:
-                self.apart.clear()
-            got = self.apart[pair] = [t.value for t in self.model.tokenize(left + right)] == [left, right]
+    def _stay_apart(self, pair: int) -> bool:
+        """Whether the library keeps two tokens, given by their numbers, side by side; remembered."""
+        if len(self.apart) > REMEMBERED:
+            self.apart.clear()
+        numbers = [pair >> 32, pair & 0xFFFFFFFF]
+        got = self.apart[pair] = [t.id for t in self.model.tokenize("".join(map(self.model.id_to_token, numbers)))] == numbers
         return got
 
     def _inside(self, block: str, budget: int) -> int:
@@ -154,6 +189,25 @@ class PrefixCounter:
         return text[: ends[at]] if at > 0 else text[: self.fit(text, budget, known)]
 
 
+class _Totals(dict[str, int]):
+    """Tokens of the pieces met so far; others are counted when asked for."""
+
+    def __init__(self, own: PrefixCounter):
+        self.own = own
+
+    def __missing__(self, piece: str) -> int:
+        return self.own.total(piece)
+
+
+def _running(pieces: list[str], totals: Iterable[int]) -> tuple[list[int], list[int]]:
+    return list(accumulate(map(len, pieces), initial=0)), list(accumulate(totals, initial=0))
+
+
+def _spelled(piece: str) -> str:
+    """A piece as vocabularies write it, one character a byte."""
+    return piece.encode().decode("latin-1").translate(_byte_alphabet())
+
+
 @cache
 def _byte_alphabet() -> list[str]:
     """The printable characters that byte-level vocabularies write bytes with."""
@@ -184,12 +238,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, store: bool = F
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                rows = [own.prefixes(t) for t in texts]
-                total = [c[-1] for _, c in rows]
-                fit = [e[-1] if c[-1] <= limit else own.fit(t, limit, (e, c)) for t, (e, c) in zip(texts, rows, strict=True)]
+                total, fit, known = zip(*own.rows(texts, limit, store), strict=True)
                 arrays = [part.column(0), part.column(2), pa.array(total, pa.int64()), pa.array([n > limit for n in total], pa.bool_()), pa.array(fit, pa.int64())]
                 if store:
-                    arrays += [pa.array([e for e, _ in rows], pa.list_(pa.int32())), pa.array([c for _, c in rows], pa.list_(pa.int32()))]
+                    arrays += [pa.array([k[side] for k in known], pa.list_(pa.int32())) for side in (0, 1)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in fields.split(", ")])
 
     text = F.col("text").cast("string")

@@ -61,3 +61,37 @@ def test_budgets_in_texts_of_any_script_and_in_one_piece(spark, library):
         for budget in (3, 7, 50):
             assert 0 < len(own.truncate(text, budget)) <= own.fit(text, budget) and library(own.truncate(text, budget)) <= budget
             assert all(library(text[:k]) > budget for k in range(own.fit(text, budget) + 1, min(len(text), own.fit(text, budget) + 20)))
+
+
+def test_plain_texts_are_split_like_the_library():
+    own = PrefixCounter(PATH)
+    plain = [c for c in map(chr, range(0x2B0)) if own.is_plain(c)]
+    assert len(plain) > 600
+    for c in plain:
+        text = f"x{c} {c}1{c}{c}\n {c}'s{c}"
+        assert own.split(text) == [text[a:b] for _, (a, b) in own.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
+
+def test_starts_that_pieces_share_are_counted_once():
+    own, alone, steps = PrefixCounter(PATH), PrefixCounter(PATH), 0
+    words = [" zqxjstart" + tail for tail in ("", "a", "ab", "abc", "abd", "b", "bé", "é", "er", "ers")] + ["x" * 3000, "zq", " zq"]
+
+    class Spied(dict):
+        def get(self, part):
+            nonlocal steps
+            steps += 1
+            return super().get(part)
+
+    own.starts = Spied(own.starts)
+    text = "".join(words)
+    (total, fit, known), (again, _, none) = own.rows([text, " zqxjstartab"], 7, True)
+    assert all(own.known[w] == alone.inner(w)[-1] for w in words if len(w) <= 2000) and "x" * 3000 not in own.known
+    assert total == len(alone.tokenizer.encode(text, add_special_tokens=False).ids) and again == alone.inner(" zqxjstartab")[-1]
+    assert (known, fit) == (alone.prefixes(text), alone.fit(text, 7)) and none == alone.prefixes(" zqxjstartab")
+    own.known.clear()
+    steps = 0
+    own.learn(set(words[:10]))
+    together, steps = steps, 0
+    for w in words[:10]:
+        own.inner(w)
+    assert together * 5 < steps * 3
