@@ -18,8 +18,9 @@ def _tokens(name: str, table: str, key: str) -> str:
 
 
 DOC_TOKENS = _tokens("dt", "documents", "doc_id")
-TERMS = DOC_TOKENS + """,
-terms AS (SELECT doc_id, term, rk AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) AS rk FROM dt) WHERE rk <= 64)"""
+MOST_TERMS = " WHERE rk <= 64"
+TERMS = DOC_TOKENS + f""",
+terms AS (SELECT doc_id, term, rk AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) AS rk FROM dt){MOST_TERMS})"""
 ASKED = _tokens("qt", "benchmark", "item_id") + """,
 asked AS (SELECT item_id, term FROM qt)"""
 BM25 = TERMS + "," + ASKED + """,
@@ -109,7 +110,7 @@ ORACLES: dict[str, str] = {
                FROM asked a JOIN terms t USING (term) JOIN lens l ON l.doc_id = t.doc_id JOIN df ON df.term = t.term AND df.lang = l.lang JOIN tot ON tot.lang = l.lang GROUP BY ALL)
         SELECT item_id, lang, doc_id, rank, score FROM (SELECT item_id, lang, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id, lang ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm WHERE round(score, 6) > 0) WHERE rank <= 3""",
     "keyword_topk": f"WITH {KEYWORD} SELECT item_id, doc_id, rank, score FROM (SELECT item_id, doc_id, keyword AS score, row_number() OVER (PARTITION BY item_id ORDER BY keyword DESC, doc_id) AS rank FROM kw WHERE keyword > 0) WHERE rank <= 10",
-    "hybrid_topk": "WITH " + BM25 + KEYWORD[len(TERMS) + 1 + len(ASKED):] + ", both_scores AS (SELECT kw.item_id, kw.doc_id, round(coalesce(score, 0) + 0.25 * keyword, 6) AS score FROM kw LEFT JOIN bm USING (item_id, doc_id)) SELECT item_id, doc_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM both_scores WHERE score > 0) WHERE rank <= 10",
+    "hybrid_topk": "WITH " + (BM25 + KEYWORD[len(TERMS) + 1 + len(ASKED):]).replace(MOST_TERMS, "") + ", both_scores AS (SELECT kw.item_id, kw.doc_id, round(coalesce(score, 0) + 0.25 * keyword, 6) AS score FROM kw LEFT JOIN bm USING (item_id, doc_id)) SELECT item_id, doc_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM both_scores WHERE score > 0) WHERE rank <= 10",
     "dense_topk": "WITH s AS (SELECT q.vec_id AS q_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id) SELECT q_id, vec_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE score > 0) WHERE rank <= 5",
     "dense_label_recall": "WITH s AS (SELECT q.vec_id AS q_id, q.label AS want, v.vec_id, v.label, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id) SELECT q_id, round_even((count(*) FILTER (label = want))::DOUBLE / count(*), 6) AS precision FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10 GROUP BY 1",
     "multiquery_merge": f"""WITH {BM25},
