@@ -100,3 +100,27 @@ def test_reach(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "caller string, callee string")
     got = {r.node: r.depth for r in edges.reach(links, spark.createDataFrame([("a",)], "node string"), 2).collect()}
     assert got == {"a": 0, "b": 1, "c": 2}
+
+
+def test_merged_candidates_of_one_key_are_compared_by_groups(spark, monkeypatch):
+    import random
+
+    r = random.Random(1)
+    rows = [(k % 2, "a", f"c{r.randint(0, 1)}", r.choice(["primary", "", "secondary", "other", "filtered_x"]), f"e{r.randint(0, 30)}", "f", r.randint(1, 3), None if k % 9 == 0 else "v", [f"g{r.randint(0, 9)}"] * (k % 3), k * 7919 % 1009) for k in range(400)]
+    frame = spark.createDataFrame(rows, "case_id int, caller string, callee string, status string, expression string, file string, line int, evidence string, callback_arguments array<string>, pos int")
+    got = {(g.case_id, g.callee): g for g in edges.merge_candidates(frame).collect()}
+    place = {"primary": 0, "secondary": 1}
+    groups = {}
+    for c, _, callee, status, *rest in sorted(rows, key=lambda x: x[-1]):
+        if not status.startswith("filtered"):
+            groups.setdefault((c, callee), []).append((status or "secondary", *rest))
+    assert set(got) == set(groups)
+    for key, held in groups.items():
+        best = min(held, key=lambda x: (place.get(x[0], 2), x[-1]))[:5]
+        others = [x for x in dict.fromkeys(h[:5] for h in held) if x != best]
+        g = got[key]
+        assert (g.status, g.expression, g.file, g.line, g.evidence) == best and g.evidence_count == len(held)
+        assert [tuple(x) for x in g.additional_evidence] == others[:5]
+        assert g.callback_arguments == list(dict.fromkeys(x for h in held for x in h[5]))
+    plan = edges.merge_candidates(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct(filter(" not in plan  # distinct structs of a group are found by comparing all pairs
